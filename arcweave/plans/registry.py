@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries outside the optional subpackage, and the SQL that checks them."""
+
+from . import data_queries
+
+QUERIES = {**data_queries.QUERIES}
+ORACLE_SQL = {**data_queries.ORACLE_SQL}
