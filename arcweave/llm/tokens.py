@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ PART_BYTES = 4 << 20
 
 def parts(batch: pa.RecordBatch, text: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about `most` bytes of text each; a longer text is a slice of its own."""
-    lengths = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column(text)).to_pylist()], np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
     share = np.cumsum(lengths) // most
     heads = np.flatnonzero(np.diff(share, prepend=-1))
     for a, b in zip(heads, [*heads[1:], batch.num_rows]):
