@@ -1,0 +1 @@
+"""Graphs that arrive as streams."""
