@@ -1,12 +1,14 @@
 """Synthetic graphs, generated by range and hash without a shuffle of edges.
 
-Every edge follows from its number and the seed, so a lost task makes the same edges again.
+Every edge follows from its number, or that of its block, and the seed, so a lost task makes the same edges again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ SEED = 1985
 RMAT = (0.57, 0.19, 0.19, 0.05)
 NOISE = 0.05
 BITS = 53
+BLOCK = 1 << 17
 
 
 def _uniform(seed: int, *of: Column | str) -> Column:
@@ -35,29 +38,37 @@ def _checked(scale: int, edge_factor: int) -> tuple[int, int]:
     return n, edge_factor * n
 
 
-def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED, initiator: Sequence[float] = RMAT, noise: float = NOISE, tries: int = 4) -> Graph:
-    """2 ** scale - 2 vertices, edge_factor edges for each. Self loops, and ends beyond the last vertex, are tried again,
-    up to `tries` times, and then moved by one."""
+def _rmat_block(block: int, count: int, scale: int, vertices: int, seed: int, initiator: Sequence[float], noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of a block's edges. Edges that are self loops or end beyond the last vertex are drawn again."""
+    draw = np.random.Generator(np.random.Philox(key=[seed, block]))
+    src, dst = np.empty(count, np.int64), np.empty(count, np.int64)
+    open_ = np.arange(count)
+    while len(open_):
+        a, b = np.zeros(len(open_), np.int64), np.zeros(len(open_), np.int64)
+        for _ in range(scale):
+            # Each quadrant's probability is stretched or shrunk by up to the noise.
+            p = np.array(initiator)[:, None] * (1 - noise + 2 * noise * draw.random((4, len(open_))))
+            upto = np.cumsum(p, axis=0)
+            quadrant = (draw.random(len(open_)) * upto[3] >= upto[:3]).sum(axis=0)
+            a, b = 2 * a + (quadrant >> 1), 2 * b + (quadrant & 1)
+        src[open_], dst[open_] = a, b
+        open_ = open_[(a == b) | (a >= vertices) | (b >= vertices)]
+    return src, dst
+
+
+def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED, initiator: Sequence[float] = RMAT, noise: float = NOISE, block_edges: int = BLOCK) -> Graph:
+    """2 ** scale - 2 vertices, edge_factor edges for each, no self loops. Blocks of edges have random streams of their own."""
     n, m = _checked(scale, edge_factor)
-    rows = spark.range(m).select(F.col("id").alias("e"))
-    for t in range(tries):
-        a, b = F.lit(0).cast("long"), F.lit(0).cast("long")
-        for level in range(scale):
-            base = 100_000 * (t + 1) + 10 * level + seed
-            # Each quadrant's probability is stretched or shrunk by up to the noise, as a whole they add up to 1.
-            p = [q * (1 - noise + 2 * noise * _uniform(base + i, "e")) for i, q in enumerate(initiator)]
-            u = _uniform(base + 5, "e") * (p[0] + p[1] + p[2] + p[3])
-            down = (u >= p[0] + p[1]).cast("long")
-            right = ((u >= p[0]) & (u < p[0] + p[1]) | (u >= p[0] + p[1] + p[2])).cast("long")
-            a, b = a * 2 + down, b * 2 + right
-        if t == 0:
-            rows = rows.withColumn("src", a).withColumn("dst", b)
-        else:
-            bad = (F.col("src") == F.col("dst")) | (F.col("src") >= n) | (F.col("dst") >= n)
-            rows = rows.withColumn("_again", bad).withColumn("src", F.when(F.col("_again"), a).otherwise(F.col("src"))).withColumn("dst", F.when(F.col("_again"), b).otherwise(F.col("dst"))).drop("_again")
-    rows = rows.withColumn("src", F.pmod("src", F.lit(n))).withColumn("dst", F.pmod("dst", F.lit(n)))
-    rows = rows.withColumn("dst", F.when(F.col("src") == F.col("dst"), F.pmod(F.col("dst") + 1, F.lit(n))).otherwise(F.col("dst")))
-    return Graph(_vertices(spark, n), rows.select("src", "dst"))
+    blocks = -(-m // block_edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                ends = _rmat_block(block, min(block_edges, m - block * block_edges), scale, n, seed, initiator, noise)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
+
+    edges = spark.range(0, blocks, 1, min(blocks, 10_000)).mapInArrow(run, "src long, dst long")
+    return Graph(_vertices(spark, n), edges)
 
 
 def uniform(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED) -> Graph:

@@ -312,7 +312,7 @@ _query("stress", "transitions", f"""
 ---
     SELECT v.id, CAST(round(coalesce(g, 0)) AS BIGINT) AS score FROM v LEFT JOIN z USING (id)""")(centrality.stress)
 _query("betweenness", "transitions")(lambda g: centrality.betweenness(g, epsilon=0.5, batch=16))
-_query("centrality_samples", "stored", "SELECT least(CAST(floor(floor(log2(count(*))) / 0.04) AS BIGINT), count(*)) AS samples FROM v")(
+_query("centrality_samples", "stored", "SELECT least(CAST(floor(floor(log2(count(*))) / (0.2::DOUBLE * 0.2::DOUBLE)) AS BIGINT), count(*)) AS samples FROM v")(
     lambda g: centrality.samples(g, 0.2).agg(F.count(F.lit(1)).alias("samples")))
 
 # Vertex programs and flow
