@@ -17,6 +17,7 @@ import base64
 import os
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -132,11 +133,10 @@ class _Cache(dict):
     def __init__(self, merge, most: int) -> None:
         super().__init__()
         self.merge, self.most = merge, most
-        self.ids: list[int] = []
-        self.offsets = [0]
+        self.ids, self.offsets = array("i"), array("q", [0])
 
     def __missing__(self, piece: bytes) -> int:
-        self.ids += self.merge(piece)
+        self.ids.extend(self.merge(piece))
         self.offsets.append(len(self.ids))
         place = self[piece] = len(self.offsets) - 2
         return place
@@ -145,7 +145,7 @@ class _Cache(dict):
         """Called between batches, so that a worker's memory stays bounded."""
         if len(self) > self.most or len(self.ids) > 8 * self.most:
             self.clear()
-            self.ids, self.offsets = [], [0]
+            self.ids, self.offsets = array("i"), array("q", [0])
 
 
 class Encoder:
@@ -213,7 +213,7 @@ class Encoder:
         at = starts.tolist()
         get = self.cache.__getitem__
         places = np.fromiter((get(data[a:b]) for a, b in zip(at, [*at[1:], len(data)])), np.int64, len(at))
-        pool, offsets = np.array(self.cache.ids, np.int32), np.array(self.cache.offsets, np.int64)
+        pool, offsets = np.frombuffer(self.cache.ids, np.int32), np.frombuffer(self.cache.offsets, np.int64)  # not kept: the cache grows
         lengths = offsets[places + 1] - offsets[places]
         ends = np.cumsum(lengths)
         ids = pool[np.repeat(offsets[places] - (ends - lengths), lengths) + np.arange(ends[-1])]
