@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
 from ..functions.ordering import with_running
 from ..graph import Graph
 from ..plans.iterate import cut
@@ -114,7 +115,7 @@ def local_ids(graph: Graph, labels: DataFrame, descending: bool = False) -> Data
 def partitioned_edges(graph: Graph, labels: DataFrame) -> DataFrame:
     """Edges with src_pid and dst_pid."""
     a, b = labels.select(F.col("id").alias("src"), F.col("pid").alias("src_pid")), labels.select(F.col("id").alias("dst"), F.col("pid").alias("dst_pid"))
-    return graph.edges.join(a, "src").join(b, "dst").select(*graph.edges.columns, "src_pid", "dst_pid")
+    return lookup_join(lookup_join(graph.edges, "src", a), "dst", b).select(*graph.edges.columns, "src_pid", "dst_pid")
 
 
 def partition_stats(graph: Graph, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
 from ..graph import Graph
 from ..plans.adjacency import Adjacency
 from ..plans.iterate import Table, cut
@@ -29,11 +30,12 @@ def _closed(graph: Graph) -> DataFrame:
     pairs = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     pairs = cut(pairs)
     degrees = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")))
-    both = pairs.join(degrees.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degrees.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    both = lookup_join(pairs, "a", degrees.select(F.col("id").alias("a"), F.col("d").alias("da")))
+    both = lookup_join(both, "b", degrees.select(F.col("id").alias("b"), F.col("d").alias("db")))
     first = F.struct("da", "a") < F.struct("db", "b")
     pointed = cut(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")))
     lists = cut(pointed.groupBy("u").agg(F.collect_list("v").alias("to")))
-    met = lists.select("u", "to", F.explode("to").alias("v")).join(lists.select(F.col("u").alias("v"), F.col("to").alias("_to")), "v").select("u", "v", F.array_intersect("to", "_to").alias("w")).where(F.size("w") > 0)
+    met = lookup_join(lists.select("u", "to", F.explode("to").alias("v")), "v", lists.select(F.col("u").alias("v"), F.col("to").alias("_to"))).select("u", "v", F.array_intersect("to", "_to").alias("w")).where(F.size("w") > 0)
     ends = F.array(F.struct(F.col("u").alias("id"), F.size("w").alias("n")), F.struct(F.col("v").alias("id"), F.size("w").alias("n")))
     all_ = F.concat(ends, F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).alias("n"))))
     return met.select(F.explode(all_).alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("triangles"))

@@ -11,6 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
 from ..functions.ordering import with_running
 from ..graph import Graph
 from ..plans.iterate import cut
@@ -22,7 +23,7 @@ def renumbered(graph: Graph, numbers: DataFrame) -> Graph:
     """numbers: (id, new), new ids of all vertices that stay. Edges with an end that has none are left out."""
     a, b = numbers.select(F.col("id").alias("src"), F.col("new").alias("_a")), numbers.select(F.col("id").alias("dst"), F.col("new").alias("_b"))
     rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
-    edges = graph.edges.join(a, "src").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"), *rest)
+    edges = lookup_join(lookup_join(graph.edges, "src", a), "dst", b).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), *rest)
     values = ["value"] * graph.valued
     vertices = graph.vertices.join(numbers, "id").select(F.col("new").alias("id"), *values)
     return replace(graph, vertices=vertices, edges=edges)
@@ -124,7 +125,7 @@ def degree_sorted_adjacency(graph: Graph, descending: bool = False) -> DataFrame
     """(id, neighbours) in order of the neighbours' out-degree and, of equal ones, of id."""
     from .structure import degree
 
-    edges = graph.edges.join(degree(graph).select(F.col("id").alias("dst"), "degree"), "dst")
+    edges = lookup_join(graph.edges, "dst", degree(graph).select(F.col("id").alias("dst"), "degree"))
     lists = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("degree", "dst")), not descending).alias("_l"))
     return graph.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce(F.col("_l.dst"), F.array().cast("array<bigint>")).alias("neighbours"))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
 from ..graph import UNREACHED, UNREACHED_HOPS, Graph
 from ..plans.adjacency import Adjacency, Trail
 from ..plans.iterate import Table, cut
@@ -105,7 +106,8 @@ def validate_tree(graph: Graph, tree: DataFrame, source: int, unreachable: int =
     not_in = tree.where(F.col("id") != F.col("parent")).join(links.select(F.col("src").alias("parent"), F.col("dst").alias("id")), ["parent", "id"], "left_anti").agg(F.count("*").alias("not_in_graph"))
     no_path = tree.join(depth, "id", "left_anti").agg(F.count("*").alias("no_path"))
     a, b = depth.select(F.col("id").alias("src"), F.col("level").alias("la")), depth.select(F.col("id").alias("dst"), F.col("level").alias("lb"))
-    ends = graph.edges.select("src", "dst").join(graph.vertices.select(F.col("id").alias("dst")), "dst", "left_semi").join(a, "src", "left").join(b, "dst", "left")
+    ends = graph.edges.select("src", "dst").join(graph.vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
+    ends = lookup_join(lookup_join(cut(ends), "src", a, "left"), "dst", b, "left")
     half = F.col("la").isNotNull() & F.col("lb").isNull()
     gap = F.col("lb") - F.col("la") > 1
     if not graph.directed:

@@ -1,6 +1,7 @@
 """Edges laid out once for a loop that joins them, turn after turn, with a state per vertex.
 
-The layout is hash-partitioned by the vertex that sends, and cached, so that a turn moves the state and not the edges.
+The layout is hash-partitioned and sorted by the vertex that sends, and cached, so that a turn moves and sorts the state
+and not the edges.
 A vertex with very many edges would make one partition large: such hubs, those with more edges than a quarter of an
 average partition, are salted, which spreads their edges over several partitions, and their state is repeated once per
 salt.  There can be at most four hubs per partition, so the table of hubs is small whatever the graph, and is broadcast.
@@ -31,12 +32,12 @@ class Adjacency:
             if not hubs.isEmpty():
                 self.hubs = hubs
         if self.hubs is None:
-            placed = edges.repartition(n, by)
+            placed = edges.repartition(n, by).sortWithinPartitions(by)
         else:
             other = "dst" if by == "src" else "src"
             placed = edges.join(F.broadcast(self.hubs), F.col(by) == F.col("_hub"), "left")
             placed = placed.withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(other), F.col("_salts"))).otherwise(F.lit(0)).cast("int"))
-            placed = placed.drop("_hub", "_salts").repartition(n, by, "_salt")
+            placed = placed.drop("_hub", "_salts").repartition(n, by, "_salt").sortWithinPartitions(by, "_salt")
         self.edges = placed.persist(StorageLevel.MEMORY_AND_DISK)
 
     def join(self, state: DataFrame, key: str = "id") -> DataFrame:

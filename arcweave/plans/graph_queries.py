@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import UNREACHED, UNREACHED_HOPS, Graph
-from ..operators import analyze, centrality, components, flow, generate, partition, ranking, structure, transform, traversal
+from ..operators import analyze, centrality, components, flow, generate, partition, ranking, sets, structure, transform, traversal
 from ..streaming import degrees as stream
 from . import vertex_program
 from .data_queries import read
@@ -108,7 +108,19 @@ ORACLE_SQL["run_summary"] = f"""
          c AS (SELECT *, CASE WHEN n > {len(analyze.T_95) + 1} THEN {analyze.Z_95} WHEN n > 1 THEN {list(analyze.T_95)}[n - 1] END * sd / sqrt(n) AS ci95 FROM s)
     SELECT config_id, measure, n, {_DIGITS_SQL.format(x="mean")}, {_DIGITS_SQL.format(x="ci95")} FROM c"""
 
-QUERIES["rate_statistics"] = lambda spark, d: analyze.rate_statistics(read(spark, d, "bench_runs"), "exec", "trv_edges")
+
+
+def _rates(spark: SparkSession, d: str) -> DataFrame:
+    found = analyze.rate_statistics(read(spark, d, "bench_runs"), "exec", "trv_edges")
+    return found.select("n", *(F.round(c, 4).alias(c) for c in found.columns if c != "n"))
+
+
+QUERIES["rate_statistics"] = _rates
+ORACLE_SQL["rate_statistics"] = """
+    WITH r AS (SELECT exec AS t, trv_edges AS e FROM bench_runs WHERE exec > 0 AND isfinite(exec))
+    SELECT count(*) AS n, round(min(t), 4) AS time_min, round(quantile_cont(t, 0.25), 4) AS time_p25, round(quantile_cont(t, 0.5), 4) AS time_p50,
+           round(quantile_cont(t, 0.75), 4) AS time_p75, round(max(t), 4) AS time_max, round(avg(t), 4) AS time_mean, round(stddev_samp(t), 4) AS time_sd,
+           round(count(*) FILTER (e > 0) / sum(t / e) FILTER (e > 0), 4) AS rate_harmonic_mean FROM r"""
 
 # Transforms
 
@@ -180,6 +192,22 @@ _query("partition_random_fraction", "stored", """
     lambda g: partition.by_fractions(g, (0.2, 0.3, 0.5)).groupBy("pid").agg(F.count(F.lit(1)).alias("vertices")))
 _query("partition_random", "stored")(lambda g: partition.by_hash(g, 4))
 
+# Sets and look-ups
+
+_query("vertex_set_difference", "stored", "SELECT DISTINCT src AS id FROM e WHERE src NOT IN (SELECT dst FROM e)")(
+    lambda g: sets.difference(g.edges.select(F.col("src").alias("id")), g.edges.select(F.col("dst").alias("id"))))
+_query("vertex_set_symmetric_difference", "stored", """
+    a AS (SELECT DISTINCT src AS id FROM e), b AS (SELECT DISTINCT dst AS id FROM e)
+---
+    SELECT id FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id FROM b WHERE id NOT IN (SELECT id FROM a)""")(
+    lambda g: sets.symmetric_difference(g.edges.select(F.col("src").alias("id")), g.edges.select(F.col("dst").alias("id"))))
+_query("vertex_set_size", "stored", "SELECT count(DISTINCT src) AS size FROM e")(lambda g: sets.size(g.edges.select(F.col("src").alias("id"))))
+_query("value_lookup", "stored", """
+    t AS (SELECT id, value FROM vertices UNION ALL SELECT id, value FROM core_vertices)
+---
+    SELECT e.dst AS id, coalesce(t.value, -1) AS value FROM e LEFT JOIN t ON t.id = e.dst""")(
+    lambda g: sets.get(g.edges.select(F.col("dst").alias("id")), g.vertices))
+
 # Ranks
 
 _PUSH = """
@@ -276,7 +304,17 @@ _query("clustering_coefficient", "transitions", f"""
 ---
     SELECT v.id, round(CASE WHEN d >= 2 THEN 2.0 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, {DIGITS}) AS coefficient FROM v LEFT JOIN g USING (id) LEFT JOIN c USING (id)""")(
     lambda g: structure.clustering_coefficient(g).select("id", F.round("coefficient", DIGITS).alias("coefficient")))
-_query("pcore", "customer_supplier")(lambda g: structure.pcore(g, start=0, step=5))
+_query("pcore", "customer_supplier", """
+    s AS (SELECT src AS id, CAST(ceil(sum(weight) / 5.0) AS BIGINT) AS b FROM e GROUP BY src),
+    h(id, b) USING KEY (id) AS (SELECT id, b FROM s UNION
+        SELECT a.id, a.best FROM (
+            SELECT id, max(least(b, CAST(ceil(c / 5.0) AS BIGINT))) AS best FROM (
+                SELECT id, b, sum(w) OVER (PARTITION BY id ORDER BY b DESC) AS c FROM (
+                    SELECT e.src AS id, p.b, sum(e.weight) AS w FROM e JOIN recurring.h p ON p.id = e.dst
+                    WHERE e.src IN (SELECT x.src FROM h JOIN e x ON x.dst = h.id) GROUP BY 1, 2)) GROUP BY id) a
+        JOIN recurring.h q ON q.id = a.id WHERE a.best < q.b)
+---
+    SELECT id, b AS round FROM h""")(lambda g: structure.pcore(g, start=0, step=5))
 
 # Centralities
 

@@ -38,11 +38,9 @@ def remove(spark: SparkSession, path: str) -> None:
 class Table:
     """A written table: its DataFrame, and how to remove it."""
 
-    def __init__(self, df: DataFrame, partitions: int | None = None) -> None:
+    def __init__(self, df: DataFrame) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/arcweave-{uuid.uuid4().hex}"
-        if partitions:
-            df = df.coalesce(partitions)
         schema = df.schema
         df.write.option("compression", "lz4").parquet(self.path)
         _KEPT[self.path] = self.spark

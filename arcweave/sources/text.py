@@ -90,7 +90,7 @@ def concatenated(spark: SparkSession, path: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop
     root = hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    target = hadoop.fs.Path(f"{path}.totem" if not path.endswith("/") else f"{path[:-1]}.totem")
+    target = hadoop.fs.Path(f"{path}.graph" if not path.endswith("/") else f"{path[:-1]}.graph")
     out = fs.create(target, True)
     for part in ("0-header", "1-vertices", "2-edges"):
         folder = hadoop.fs.Path(f"{path}/{part}")

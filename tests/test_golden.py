@@ -276,3 +276,13 @@ def test_extra_columns_and_clashing_names(spark):
     vertices = spark.createDataFrame([(i, "x", 1) for i in range(3)], "id long, src string, _hub int")
     edges = spark.createDataFrame([(0, 1, "a", 3), (1, 2, "b", 4)], "src long, dst long, id string, cost int")
     assert values(traversal.bfs(Graph(vertices, edges), 0)) == {0: 0, 1: 1, 2: 2}
+
+
+def test_lookup_join(spark):
+    from arcweave.functions.lookup import lookup_join
+
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 0), (2, 1), (3, 0), (None, 5)], "k long, x long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, y string")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, rows.join(table, "k", how).select("k", "x", "y").collect()), key=repr)
+        assert sorted(map(tuple, lookup_join(rows, "k", table, how, least_rows=10).select("k", "x", "y").collect()), key=repr) == plain

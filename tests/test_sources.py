@@ -23,19 +23,19 @@ def written(path, content):
 
 
 def test_text(spark, tmp_path):
-    path = written(tmp_path / "a.totem", "#Nodes: 4 Y \n# edges:3\n#DIRECTED\n0 7\n2 8\n3\n# comment\n0 1 5.9\n\n0:3\n 2\t1 4\r\n")
+    path = written(tmp_path / "a.graph", "#Nodes: 4 Y \n# edges:3\n#DIRECTED\n0 7\n2 8\n3\n# comment\n0 1 5.9\n\n0:3\n 2\t1 4\r\n")
     g = text.read_text(spark, path, weighted=True)
     assert g.directed and g.valued
     assert rows(g.edges) == [(0, 1, 5), (0, 3, 1), (2, 1, 4)]
     assert rows(g.vertices) == [(0, 7), (1, 0), (2, 8), (3, 0)]
     assert rows(text.read_text(spark, path).edges) == [(0, 1), (0, 3), (2, 1)]
     with pytest.raises(ValueError):
-        text.read_text(spark, written(tmp_path / "b.totem", "# Nodes: 2\n# Edges: 2\n# Undirected\n0 1\n"))
+        text.read_text(spark, written(tmp_path / "b.graph", "# Nodes: 2\n# Edges: 2\n# Undirected\n0 1\n"))
     with pytest.raises(ValueError):
-        text.read_text(spark, written(tmp_path / "c.totem", "0 1\n"))
+        text.read_text(spark, written(tmp_path / "c.graph", "0 1\n"))
     with pytest.raises(ValueError):
-        text.read_text(spark, written(tmp_path / "d.totem", "# Nodes: 2\n# Edges: 1\n# Undirected\n5 1\n"))
-    nothing = text.read_text(spark, written(tmp_path / "e.totem", "# Nodes: 5\n# Edges: 0\n# Undirected\n"))
+        text.read_text(spark, written(tmp_path / "d.graph", "# Nodes: 2\n# Edges: 1\n# Undirected\n5 1\n"))
+    nothing = text.read_text(spark, written(tmp_path / "e.graph", "# Nodes: 5\n# Edges: 0\n# Undirected\n"))
     assert (nothing.vertex_count(), nothing.edge_count(), nothing.directed) == (5, 0, False)
 
 
