@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.iterate import Table, cut
+from ..plans.shipping import ship
 
 LOCAL_EDGES = 2_000_000
 
@@ -107,6 +108,7 @@ def maxflow(graph: Graph, source: int, sink: int, local_edges: int = LOCAL_EDGES
                 network.add(a, b, c)
         yield pd.DataFrame({"source": [source], "sink": [sink], "flow": [network.flow(source, sink)]})
 
+    ship(graph.spark)
     return edges.coalesce(1).mapInPandas(solve, "source long, sink long, flow long")
 
 

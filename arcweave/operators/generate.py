@@ -13,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans.shipping import ship
 
 SEED = 1985
 # The initiator of R-MAT graphs, and the noise that each level adds to it.
@@ -60,6 +61,7 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEE
     """2 ** scale - 2 vertices, edge_factor edges for each, no self loops. Blocks of edges have random streams of their own."""
     n, m = _checked(scale, edge_factor)
     blocks = -(-m // block_edges)
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

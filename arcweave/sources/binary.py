@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans.shipping import ship
 
 # Fixed values of the format.
 MAGIC = 0x10102048
@@ -109,6 +110,7 @@ def _edge_slice(file, x: Layout, a: int, b: int, weighted: bool) -> pa.RecordBat
 def read_binary(spark: SparkSession, path: str, weighted: bool = False, slice_edges: int = SLICE) -> Graph:
     """The graph of a file that all executors can read. Weights are read if asked for, and are 1 in a file without."""
     x = layout(path)
+    ship(spark)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _open(path) as file:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
+
 # The format of the lines.
 SEPARATORS = " \t\r:"
 LARGEST_WEIGHT = 4294967294
@@ -121,6 +123,7 @@ def load_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """
     given = lines.select(F.col("line_id").cast("long"), F.col("graph_id").cast("int"), "line").where("line is not null")
     known = headers.where("graph_id is not null").select(F.col("graph_id").cast("int").alias("graph_id"), F.col("vertex_count").cast("long"), "weighted")
+    ship(lines.sparkSession)
     joined = given.join(known, "graph_id", "left").select("line_id", "graph_id", "line", "vertex_count", "weighted")
     return joined.mapInArrow(_run, _SCHEMA)
 
