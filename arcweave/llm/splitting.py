@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ship
 from .bpe import TOKENIZER_DIR, VOCABULARY, Encoder, encoder, utf8
 from .tokens import parts
 
@@ -200,6 +201,7 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
                     arrays.append(pa.array([t.decode("utf-8") for t in columns[6]], pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *arrays], names)
 
+    ship(documents.sparkSession)
     names = ["key", "piece", "n_pieces", "first_token", "n_tokens", "cut", "boundary"] + ["text"] * with_text
     kinds = [documents.schema[key].dataType, T.IntegerType(), T.IntegerType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ship
+
 SALTS = 32
 
 
@@ -116,6 +118,7 @@ def record_suffixes(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[p
 
 
 def _aggregate(suffixes: DataFrame, sigma: int, kind: T.DataType, salts: int) -> DataFrame:
+    ship(suffixes.sparkSession)
     terms = [f"t{i + 1}" for i in range(sigma)]
     combined = suffixes.groupBy(*terms).agg(F.sum("n").alias("n"), *(F.sum(f"d{i + 1}").alias(f"d{i + 1}") for i in range(sigma)))
     if sigma > 1:  # the exchange of the aggregation is by whole suffix; with one term that is the route already
@@ -130,6 +133,7 @@ def _aggregate(suffixes: DataFrame, sigma: int, kind: T.DataType, salts: int) ->
 
 def sequence_counts(df: DataFrame, terms: str, sigma: int, salts: int = SALTS) -> DataFrame:
     """(t1..ts, length, occurrences, records) of every sequence of up to sigma terms of the array column `terms`."""
+    ship(df.sparkSession)
     kind = df.schema[terms].dataType.elementType
     names = [f"t{i + 1}" for i in range(sigma)]
     schema = T.StructType([*(T.StructField(t, kind) for t in names), T.StructField("n", T.LongType()), *(T.StructField(f"d{i + 1}", T.LongType()) for i in range(sigma))])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ship
 from .bpe import TOKENIZER_DIR, VOCABULARY, encoder
 
 PART_BYTES = 4 << 20
@@ -54,6 +55,7 @@ def encode(df: DataFrame, key: str, text: str, offsets: bool = False, directory:
                     names.append("ends")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    ship(df.sparkSession)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if offsets:
@@ -72,6 +74,7 @@ def count_tokens(df: DataFrame, keys: Sequence[str], text: str, directory: str =
                 _, counts = tool.encode_arrow(part.column(width))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(counts)], [f"k{i}" for i in range(width)] + ["n_tokens"])
 
+    ship(df.sparkSession)
     schema = T.StructType([*(T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(keys)), T.StructField("n_tokens", T.LongType())])
     counted = df.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
     return counted.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "n_tokens")
@@ -86,4 +89,5 @@ def decode(df: DataFrame, ids: str, text: str = "text", directory: str = TOKENIZ
             texts = [None if x is None else tool.decode(x).decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
 
+    ship(df.sparkSession)
     return df.select(F.col(f"`{ids}`").alias("ids")).mapInArrow(run, "text string").withColumnRenamed("text", text)
