@@ -40,7 +40,7 @@ def _ranks(graph: Graph, by: str, rounds: int, damping: float, first_normalized:
     divided = F.when(F.col("degree") > 0, F.col("rank") / F.col("degree"))
     ids = vertices.withColumn("rank", F.coalesce("rank", F.lit(0.0)))
     table = Table(ids.select("id", "degree", "rank", F.col("rank").alias("first"), (divided if first_normalized else F.col("rank")).alias("sent")))
-    with Adjacency(graph.edges.select("src", "dst"), by) as out:
+    with Adjacency(graph.edges.select("src", "dst"), by, graph.edge_count()) as out:
         to = "dst" if by == "src" else "src"
         for _ in range(rounds):
             sent = out.join(table.df.where("sent is not null").select(F.col("id").alias("_from"), "sent"), "_from")

@@ -41,11 +41,11 @@ def levels(graph: Graph, sources: DataFrame, depth: int | None = None, stop_at:
     it, over reversed edges; 'auto' pulls when the newest level holds more than PULL_SHARE of all vertices.
     """
     total = graph.vertex_count()
-    edges = cut(_vertices_only(graph))
+    edges, count = _vertices_only(graph), graph.edge_count()
     trail = Trail(graph.spark)
     new = trail.append(sources.select("id", F.lit(0).alias("cost"), F.col("id").alias("parent")))
     by_dst: Adjacency | None = None
-    with Adjacency(edges, "src") as by_src:
+    with Adjacency(edges, "src", count) as by_src:
         reached = new
         while new and (depth is None or len(trail) <= depth) and reached < total:
             cost = F.lit(len(trail))
@@ -54,7 +54,7 @@ def levels(graph: Graph, sources: DataFrame, depth: int | None = None, stop_at:
                 break
             known = trail.all().select("id")
             if direction == "pull" or (direction == "auto" and new > PULL_SHARE * total):
-                by_dst = by_dst or Adjacency(edges, "dst")
+                by_dst = by_dst or Adjacency(edges, "dst", count)
                 open_ = graph.vertices.select("id").join(known, "id", "left_anti")
                 candidates = by_dst.join(open_).withColumnRenamed("src", "parent").join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
                 found = candidates.groupBy("id").agg(F.min("parent").alias("parent"))
