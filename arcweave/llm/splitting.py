@@ -160,7 +160,7 @@ def split(tool: Encoder, texts: list[_Text], limit: int = LIMIT, overlap: int =
             _, n = tool.encode_bytes([x[3] for x in tries])
             again = []
             for i, x, k in zip(todo, tries, n):
-                if k <= limit:
+                if k <= limit or most[i] <= overlap + 1:  # a shorter piece would not get ahead of the overlap
                     out[i].append(x)
                     done.append(i)
                     start[i] = x[1] - overlap
