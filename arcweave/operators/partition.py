@@ -71,7 +71,6 @@ def by_degree(graph: Graph, fractions: Sequence[float], descending: bool = False
     extra = list(taken_from_end or [])
     at_end: list[int] = []
     upto = 0
-    pid = F.lit(len(fractions) - 1)
     if any(extra):
         placed = placed.withColumn("_after", F.lit(total) - F.col("_before") - F.col("degree"))
         for share in extra:
