@@ -16,6 +16,7 @@ def spark():
     os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__))) + os.pathsep + os.environ.get("PYTHONPATH", "")
     session = local_session(8, "4g", "tests")
     session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny data: compiling takes longer than running
     yield session
     session.stop()
 
