@@ -292,6 +292,17 @@ _query("label_propagation", "transitions", f"""
 ---
     SELECT v.id, coalesce(b.label, v.id) AS label FROM v LEFT JOIN b ON b.id = v.id AND b.k = 1""")(
     lambda g: components.label_propagation(g, turns=_LP_TURNS))
+# All turns up to the limit, the labels after each, and the turn after which labels were stable for long enough.
+_query("label_propagation_stable", "transitions", f"""
+    {_OUT}, p(turn, id, label, p) AS (SELECT 0, id, id, 1.0::DOUBLE FROM o WHERE degree > 0 UNION ALL SELECT 0, e.src, e.dst, 1.0::DOUBLE / degree FROM e JOIN o ON o.id = e.src UNION ALL
+        SELECT q.turn + 1, e.src, q.label, sum(q.p) / any_value(o.degree) FROM e JOIN p q ON q.id = e.dst JOIN o ON o.id = e.src WHERE q.turn < {components.LP_TURNS} GROUP BY 1, 2, 3),
+    b AS MATERIALIZED (SELECT turn, id, label FROM p WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY turn, id ORDER BY round(p, 7) DESC, label) = 1),
+    c AS (SELECT y.turn, count(*) FILTER (x.label <> y.label) AS changed FROM b y JOIN b x ON x.id = y.id AND x.turn = y.turn - 1 GROUP BY y.turn),
+    q AS (SELECT turn, sum(changed) OVER w AS changed, count(*) OVER w AS n FROM c WINDOW w AS (ORDER BY turn ROWS BETWEEN {components.LP_STABLE - 1} PRECEDING AND CURRENT ROW)),
+    z AS (SELECT coalesce(min(turn), {components.LP_TURNS}) AS turn FROM q WHERE changed = 0 AND n = {components.LP_STABLE})
+---
+    SELECT v.id, coalesce(b.label, v.id) AS label FROM v LEFT JOIN b ON b.id = v.id AND b.turn = (SELECT turn FROM z)""")(
+    components.label_propagation)
 
 # Structure
 

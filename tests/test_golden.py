@@ -83,6 +83,28 @@ def test_label_propagation(spark):
     assert values(components.label_propagation(build(spark, 3, both([(0, 1)]))))[2] == 2
 
 
+def test_label_propagation_runs_until_labels_are_stable(spark):
+    """The registered query against the rule in numpy, where three turns are not enough."""
+    import numpy as np
+
+    from arcweave.plans import graph_queries
+    from arcweave.plans.graphs import graph
+
+    folder = "/root/testdata/sf0.01"
+    pairs = np.array(graph(spark, folder, "transitions").edges.select("src", "dst").collect())
+    ids, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(pairs.shape)
+    walk = np.zeros((len(ids), len(ids)))
+    np.add.at(walk, (ends[:, 0], ends[:, 1]), 1)
+    walk /= np.maximum(walk.sum(axis=1, keepdims=True), 1)
+    p, turns = walk + np.eye(len(ids)) * (walk.sum(axis=1) > 0), []
+    while len(turns) < components.LP_TURNS and not (len(turns) > components.LP_STABLE and all((x == turns[-1]).all() for x in turns[-1 - components.LP_STABLE :])):
+        p = walk @ p
+        turns.append(np.where(walk.sum(axis=1) > 0, np.argmax(np.round(p, components.LP_DIGITS), axis=1), np.arange(len(ids))))
+    assert len(turns) > 3 and (turns[2] != turns[-1]).any()
+    assert values(graph_queries.QUERIES["label_propagation_stable"](spark, folder)) == {int(ids[i]): int(ids[x]) for i, x in enumerate(turns[-1])}
+
+
 def test_pagerank(spark):
     got = values(ranking.pagerank(build(spark, 100, chain(100))))
     assert [round(got[i], 10) for i in (0, 1, 2, 99)] == [0.0083862783, 0.0154199984, 0.0149037430, 0.0083862783]
