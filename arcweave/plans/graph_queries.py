@@ -63,14 +63,16 @@ _query("singletons_and_leaves", "stored", f"""
 ---
     SELECT count(*) FILTER (o.degree = 0 AND i.degree = 0) AS singletons, count(*) FILTER (o.degree = 0 AND i.degree > 0) AS leaves
     FROM o JOIN i USING (id)""")(analyze.singletons_and_leaves)
-_query("graph_summary", "stored", f"""
+_SUMMARY = f"""
     {_OUT}
 ---
     SELECT (SELECT count(*) FROM v) AS vertex_count, (SELECT count(*) FROM e) AS edge_count,
            (SELECT count(*) FROM e WHERE src = dst) AS self_loops,
            (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM v) OR dst NOT IN (SELECT id FROM v)) AS dangling_edges,
            (SELECT max(degree) FROM o) AS max_degree,
-           NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric""")(analyze.summary)
+           NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric"""
+_query("graph_summary", "stored", _SUMMARY)(analyze.summary)
+_query("graph_summary_delivered", "delivered", _SUMMARY)(analyze.summary)
 _query("degree_order", "forest", f"""
     {_OUT}, s AS (SELECT degree - lag(degree) OVER (ORDER BY id) AS step FROM o)
 ---

@@ -68,7 +68,14 @@ def stored(spark: SparkSession, d: str) -> Graph:
     return Graph(vertices, cut(edges), directed=True, weighted=True, valued=True)
 
 
-BUILDERS: dict[str, Callable[[SparkSession, str], Graph]] = {f.__name__: f for f in (co_purchase, customer_supplier, transitions, forest, order_chain, stored)}
+def delivered(spark: SparkSession, d: str) -> Graph:
+    """stored() before the check of ends: with the edges that have an end that is no vertex."""
+    vertices = cut(read(spark, d, "vertices").select("id", "value").union(read(spark, d, "core_vertices").select("id", "value")))
+    rows = read(spark, d, "edges").where("src is not null and dst is not null").select("pos", "src", "dst", "weight").distinct()
+    return Graph(vertices, cut(rows.select("src", "dst", F.coalesce("weight", F.lit(1)).alias("weight"))), directed=True, weighted=True, valued=True)
+
+
+BUILDERS: dict[str, Callable[[SparkSession, str], Graph]] = {f.__name__: f for f in (co_purchase, customer_supplier, transitions, forest, order_chain, stored, delivered)}
 
 
 def graph(spark: SparkSession, d: str, name: str) -> Graph:
@@ -101,6 +108,9 @@ SQL = {
     "stored": ("""SELECT src, dst, coalesce(weight, 1) AS weight FROM (SELECT DISTINCT pos, src, dst, weight FROM edges)
         WHERE src IS NOT NULL AND dst IN (SELECT id FROM vertices UNION ALL SELECT id FROM core_vertices)""",
         "SELECT id FROM vertices UNION ALL SELECT id FROM core_vertices"),
+    "delivered": ("""SELECT src, dst, coalesce(weight, 1) AS weight FROM (SELECT DISTINCT pos, src, dst, weight FROM edges)
+        WHERE src IS NOT NULL AND dst IS NOT NULL""",
+        "SELECT id FROM vertices UNION ALL SELECT id FROM core_vertices"),
 }
 
 

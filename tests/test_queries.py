@@ -17,6 +17,14 @@ def test_runs(name, spark):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_summary_counts_delivered_edges_that_end_nowhere(spark, duck):
+    row = registry.QUERIES["graph_summary_delivered"](spark, DATA).first()
+    ids = "(SELECT id FROM vertices UNION ALL SELECT id FROM core_vertices)"
+    nowhere = duck.execute(f"SELECT count(*) FROM (SELECT DISTINCT pos, src, dst, weight FROM edges) WHERE src IS NOT NULL AND dst NOT IN {ids}").fetchone()[0]
+    assert row.dangling_edges == nowhere > 0
+    assert row.edge_count - nowhere == registry.QUERIES["graph_summary"](spark, DATA).first().edge_count
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
