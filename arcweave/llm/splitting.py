@@ -2,8 +2,9 @@
 
 Each text is encoded once.  A rolling hash over its bytes marks about one place in 2 ** MASK_BITS as a landmark.  From
 the start of a piece, the first landmark between the least and the largest size of a piece is taken, or the largest size
-if there is none, and the cut snaps to the nearest boundary, within these sizes, of the coarsest kind that occurs there:
-end of a block, line or word; only where there is none does it stay between two tokens.  The next piece begins `overlap`
+if there is none, and the cut snaps to the nearest boundary, within these sizes, of the coarsest kind that occurs in the
+piece behind the overlap: end of a block, line or word; where that kind occurs only before the least size, to the last
+such boundary.  Only where there is none of any kind does it stay between two tokens.  The next piece begins `overlap`
 tokens before the cut.  Where cuts fall depends on the text nearby, so an edit alters the pieces around it and the
 following ones fall into step again at a landmark.
 
@@ -117,7 +118,7 @@ class _Text:
         self.at = [place[fits & (kinds == k)] for k in range(3)]
         self.marks = np.unique(np.searchsorted(self.ends, landmarks(text)))
 
-    def cut(self, start: int, least: int, most: int) -> tuple[int, str]:
+    def cut(self, start: int, least: int, most: int, overlap: int) -> tuple[int, str]:
         """The end of the piece that begins at start, and the kind of boundary there."""
         low, high = start + least, start + most
         i = np.searchsorted(self.marks, low)
@@ -126,6 +127,9 @@ class _Text:
             inside = at[np.searchsorted(at, low) : np.searchsorted(at, high, side="right")]
             if len(inside):
                 return int(inside[np.argmin(np.abs(inside - aim))]), kind
+            i = np.searchsorted(at, low) - 1
+            if i >= 0 and at[i] > start + overlap:
+                return int(at[i]), kind
         return int(aim), "none"
 
     def bytes(self, start: int, end: int) -> bytes:
@@ -155,7 +159,7 @@ def split(tool: Encoder, texts: list[_Text], limit: int = LIMIT, overlap: int =
             for i in todo:
                 t, s, m = texts[i], start[i], most[i]
                 rest = len(t.ids) - s
-                e, kind = (s + rest, "end") if rest <= m else t.cut(s, min(least, m), m)
+                e, kind = (s + rest, "end") if rest <= m else t.cut(s, min(least, m), m, overlap)
                 tries.append((s, e, kind, t.bytes(s, e)))
             _, n = tool.encode_bytes([x[3] for x in tries])
             again = []

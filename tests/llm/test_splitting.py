@@ -53,6 +53,24 @@ def test_cuts_fall_on_the_coarsest_boundary():
     assert {p[2] for p in pieces[:-1]} == {"word"}
 
 
+@pytest.mark.parametrize("text, kind", [
+    ("a b c d e f g h i j k l\nm " + "Zq7" * 16 + " end of it" * 20, "line"),
+    ("a b c d e f g h i j\n\n" + "k l m n o p q r s t u\n" * 30, "block"),
+])
+def test_an_early_boundary_goes_before_a_finer_one(text, kind):
+    (whole, pieces), = cut([text])
+    start, end, found, _ = pieces[0]
+    assert found == kind and OVERLAP < end < LIMIT // 2
+
+
+def test_a_run_after_a_short_start_is_not_cut():
+    run = "Zq7xW" * 9
+    tokens = len(bpe.encoder().encode_bytes([run.encode()])[0])
+    assert LIMIT // 2 < tokens < LIMIT - OVERLAP
+    (whole, pieces), = cut(["a b c d e f g h i j k l m n o p " + run + " q r s t" * 30])
+    assert any(run.encode() in p for *_, p in pieces) and all(kind != "none" for *_, kind, _ in pieces)
+
+
 def test_an_edit_alters_only_pieces_nearby():
     text = prose(random.Random(4), 60, 6, 8)
     at = text.index("\n\n", len(text) // 3)
