@@ -1,7 +1,7 @@
 """How often every term, and every sequence of up to sigma terms, occurs, and in how many records.
 
 A record's suffixes, truncated to sigma terms, stand for all sequences that begin where they begin.  Equal suffixes are
-combined on the map side, then routed by their first term, sorted in reverse lexicographic order, and one pass with a
+combined within each task, then routed by their first term, with a shuffle of partial counts, sorted in reverse lexicographic order, and one pass with a
 stack adds up the counts of all prefixes: when the next suffix no longer begins with an open prefix, that prefix is
 complete and is put out.  The pass works on whole Arrow batches; where the common prefix of neighbours ends, an entry of
 the stack is popped, and what is open at the end of a batch is carried on.
@@ -9,7 +9,7 @@ the stack is popped, and what is open at the end of a batch is carried on.
 The set of records of a sequence is kept as a count: a suffix brings, for each prefix length, whether its record has
 that prefix here for the first time.  As a record is one row, these flags are exact and no record ids are gathered.
 
-With sigma = 1 the map side leaves one row per term and task, so a term in a third of all rows needs no more care.  With
+With sigma = 1 a task leaves a term few rows, one for each COMBINED_ROWS, so one in a third of all rows needs no more care.  With
 more, the suffixes of a frequent first term are routed to several partitions and the prefixes' counts are added up.
 
 Defined results: null terms are left out before sequences are formed; records without terms, and null records, have no
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from ..plans.shipping import ship
 
 SALTS = 32
+#: Rows that a task holds to combine them, and rows of a batch that it passes on.
+COMBINED_ROWS, OUT_ROWS = 1 << 19, 1 << 16
 
 
 def _changes(column: pa.Array, last) -> np.ndarray:
@@ -40,6 +42,25 @@ def _changes(column: pa.Array, last) -> np.ndarray:
     return ~pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(before))).to_numpy(zero_copy_only=False)
 
 
+def combine(batches: Iterator[pa.RecordBatch], sigma: int, rows: int = COMBINED_ROWS) -> Iterator[pa.RecordBatch]:
+    """Equal suffixes of a task added up, as far as they lie within about `rows` rows; the rest is left to the stack."""
+    terms, sums = [f"t{i + 1}" for i in range(sigma)], ["n"] + [f"d{i + 1}" for i in range(sigma)]
+
+    def added(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(terms, use_threads=False).aggregate([(c, "sum") for c in sums])
+        yield from table.select([*terms, *(f"{c}_sum" for c in sums)]).rename_columns([*terms, *sums]).to_batches(max_chunksize=OUT_ROWS)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from added(held)
+            held, size = [], 0
+    if size:
+        yield from added(held)
+
+
 def prefix_sums(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.RecordBatch]:
     """From sorted (t1..ts, n, d1..ds) to (t1..ts, length, n, d) of every prefix."""
     open_: list[list | None] = [None] * sigma  # per length: [terms, n, d]
@@ -120,9 +141,9 @@ def record_suffixes(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[p
 def _aggregate(suffixes: DataFrame, sigma: int, kind: T.DataType, salts: int) -> DataFrame:
     ship(suffixes.sparkSession)
     terms = [f"t{i + 1}" for i in range(sigma)]
-    combined = suffixes.groupBy(*terms).agg(F.sum("n").alias("n"), *(F.sum(f"d{i + 1}").alias(f"d{i + 1}") for i in range(sigma)))
-    if sigma > 1:  # the exchange of the aggregation is by whole suffix; with one term that is the route already
-        combined = combined.repartition(F.col("t1"), F.pmod(F.xxhash64(*terms), F.lit(salts)))
+    combined = suffixes.mapInArrow(lambda it: combine(it, sigma), suffixes.schema)
+    route = [F.col("t1")] + [F.pmod(F.xxhash64(*terms), F.lit(salts))] * (sigma > 1)
+    combined = combined.repartition(*route)
     ordered = combined.sortWithinPartitions(*(F.desc(t) for t in terms))
     schema = T.StructType([*(T.StructField(t, kind) for t in terms), T.StructField("length", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("d", T.LongType())])
     prefixes = ordered.mapInArrow(lambda it: prefix_sums(it, sigma), schema)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,24 @@ def test_value_counts(spark):
     assert terms.value_counts(df.limit(0), ["src", "dst"]).count() == 0
 
 
+def test_the_stack_adds_up_counts_of_tasks(spark):
+    """Partial counts of a term from several tasks come to the stack, and there is no other aggregation."""
+    df = spark.createDataFrame([(i % 3, 5) for i in range(60)], "src long, dst long").repartition(6)
+    counts = terms.value_counts(df, ["src", "dst"])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 2
+    assert {tuple(r) for r in counts.collect()} == {(0, 20, 20), (1, 20, 20), (2, 20, 20), (5, 60, 60)}
+
+
+def test_combine_keeps_sums():
+    batch = pa.RecordBatch.from_pydict({"t1": ["a", "a", None, "b"], "t2": [None, None, "x", "c"], "n": [1, 2, 3, 4], "d1": [1, 0, 1, 1], "d2": [0, 0, 1, 1]})
+    for rows in (1, 100):
+        got = pa.Table.from_batches(terms.combine(iter([batch, batch]), 2, rows)).to_pylist()
+        assert len(got) == (6 if rows == 1 else 3)
+        assert sum(r["n"] for r in got if r["t1"] == "a") == 6 and sum(r["d1"] for r in got if r["t1"] == "a") == 2
+        assert sum(r["d2"] for r in got) == 4
+
+
 @pytest.mark.parametrize("batch", [3, 10_000])
 @pytest.mark.parametrize("kind", ["string", "bigint"])
 def test_sequence_counts(spark, batch, kind):
