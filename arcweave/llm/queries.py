@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import frequent, mixing, percentiles, splitting, terms, tokens
 
 FIELDS = ("exec", "exec_rate", "alpha")
+#: Weights over the course of p7_curriculum: rising, falling, and highest in the middle; taken in turn by the sources in order of name.
+CURRICULUM = ((0.5, 1.5), (1.5, 0.5), (0.5, 1.5, 0.5))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +60,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report
 
 
+def p7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix with weights that change along it; their means keep the shares of p7_mix."""
+    targets = _read(spark, sf_dir, "mix_targets")
+    return mixing.mix(_read(spark, sf_dir, "documents"), targets, schedules(targets)).ordered()
+
+
+def schedules(targets: DataFrame) -> dict[str, tuple[float, ...]]:
+    """A schedule of CURRICULUM for each listed source."""
+    sources = sorted({r.source for r in targets.select("source").collect() if r.source is not None})
+    return {s: CURRICULUM[i % len(CURRICULUM)] for i, s in enumerate(sources)}
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_report(spark, sf_dir).where("short").select("source")
 
@@ -75,7 +89,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("piece = 0 and boundary is not null").select("doc_id", "boundary")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p4_found, p4_top, p5_found, p5_counts, p6_found, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p4_found, p4_top, p5_found, p5_counts, p6_found, p6_ids, p7_found, p7_mix, p7_curriculum, p7_report, p8_found, p8_pieces)}
 
 _P5 = """
     WITH cells AS (SELECT src AS id, pos, 1 AS new FROM edges

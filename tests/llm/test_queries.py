@@ -36,6 +36,24 @@ def test_mix_shortfalls_by_brute_force(spark):
     assert {r.source for r in queries.p7_found(spark, DATA).collect()} == expected
 
 
+def test_curriculum_moves_tokens_but_keeps_shares(spark):
+    folder = "/root/testdata/sf0.01"
+    tokens = lambda rows: {s: sum(r.n_tokens for r in rows if r.source == s) for s in {r.source for r in rows}}
+    rows, plain = queries.p7_curriculum(spark, folder).collect(), queries.p7_mix(spark, folder).collect()
+    assert tokens(rows) == tokens(plain) and [r.position for r in rows] == sorted(r.position for r in rows)
+    assert {(r.doc_id, r.repeat) for r in rows} == {(r.doc_id, r.repeat) for r in plain}
+    # Integrals of the schedules up to a half and a quarter.
+    parts = {(0.5, 1.5): (0.375, 0.15625), (1.5, 0.5): (0.625, 0.34375), (0.5, 1.5, 0.5): (0.5, 0.1875)}
+    whole, seen = tokens(rows), set()
+    for source, weights in queries.schedules(spark.read.parquet(f"{folder}/mix_targets.parquet")).items():
+        own = [r for r in rows if r.source == source]
+        for upto, part in zip((0.5, 0.25), parts[weights]):
+            if own:
+                assert abs(sum(r.n_tokens for r in own if r.position < upto) - part * whole[source]) <= max(r.n_tokens for r in own)
+                seen.add(weights)
+    assert seen == set(queries.CURRICULUM)
+
+
 def test_boundaries_by_brute_force(spark):
     from .test_splitting import _coarsest
 
