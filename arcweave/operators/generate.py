@@ -1,4 +1,4 @@
-"""Synthetic graphs, generated by range and hash without a shuffle of edges.
+"""Synthetic graphs, generated by range and hash; only renumbering joins edges with new ids.
 
 Every edge follows from its number, or that of its block, and the seed, so a lost task makes the same edges again.
 """
@@ -57,8 +57,8 @@ def _rmat_block(block: int, count: int, scale: int, vertices: int, seed: int, in
     return src, dst
 
 
-def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED, initiator: Sequence[float] = RMAT, noise: float = NOISE, block_edges: int = BLOCK) -> Graph:
-    """2 ** scale - 2 vertices, edge_factor edges for each, no self loops. Blocks of edges have random streams of their own."""
+def _drawn(spark: SparkSession, scale: int, edge_factor: int, seed: int, initiator: Sequence[float], noise: float, block_edges: int) -> Graph:
+    """The graph with ids as drawn, by which low ids have the most edges."""
     n, m = _checked(scale, edge_factor)
     blocks = -(-m // block_edges)
     ship(spark)
@@ -73,6 +73,14 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEE
     return Graph(_vertices(spark, n), edges)
 
 
+def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED, initiator: Sequence[float] = RMAT, noise: float = NOISE, block_edges: int = BLOCK) -> Graph:
+    """2 ** scale - 2 vertices, edge_factor edges for each, no self loops, renumbered at random. Blocks of edges have
+    random streams of their own."""
+    from .transform import permuted
+
+    return permuted(_drawn(spark, scale, edge_factor, seed, initiator, noise, block_edges), seed)
+
+
 def uniform(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED) -> Graph:
     """Ends drawn evenly, no self loops."""
     n, m = _checked(scale, edge_factor)
@@ -83,10 +91,8 @@ def uniform(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int =
 
 
 def kronecker(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED) -> Graph:
-    """rmat() without noise, renumbered at random."""
-    from .transform import permuted
-
-    return permuted(rmat(spark, scale, edge_factor, seed, noise=0.0), seed)
+    """rmat() without noise."""
+    return rmat(spark, scale, edge_factor, seed, noise=0.0)
 
 
 def bter(spark: SparkSession, degrees: Sequence[tuple[int, int]], clustering: float = 0.5, seed: int = SEED) -> Graph:

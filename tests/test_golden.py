@@ -294,6 +294,16 @@ def test_generators(spark):
         generate.rmat(spark, 1)
 
 
+def test_rmat_ids_do_not_reveal_degrees(spark):
+    """By ids as drawn, the vertices of the first eighth have most of the edges."""
+    drawn = generate._drawn(spark, 9, 16, generate.SEED, generate.RMAT, generate.NOISE, generate.BLOCK)
+    g = generate.rmat(spark, 9)
+    share = lambda x: x.edges.where(f"src < {(1 << 9) // 8}").count() / x.edge_count()
+    assert share(drawn) > 0.35 and share(g) < 0.25
+    same = lambda x: values(analyze.degree_distribution(x), "degree")
+    assert same(drawn) == same(g)
+
+
 def test_extra_columns_and_clashing_names(spark):
     vertices = spark.createDataFrame([(i, "x", 1) for i in range(3)], "id long, src string, _hub int")
     edges = spark.createDataFrame([(0, 1, "a", 3), (1, 2, "b", 4)], "src long, dst long, id string, cost int")
