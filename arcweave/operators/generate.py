@@ -19,6 +19,7 @@ SEED = 1985
 # The initiator of R-MAT graphs, and the noise that each level adds to it.
 RMAT = (0.57, 0.19, 0.19, 0.05)
 NOISE = 0.05
+SCALE = 20
 BITS = 53
 BLOCK = 1 << 17
 
@@ -78,7 +79,7 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEE
     random streams of their own."""
     from .transform import permuted
 
-    return permuted(_drawn(spark, scale, edge_factor, seed, initiator, noise, block_edges), seed)
+    return permuted(_drawn(spark, scale, edge_factor, seed, initiator, noise, block_edges).written(), seed)
 
 
 def uniform(spark: SparkSession, scale: int, edge_factor: int = 16, seed: int = SEED) -> Graph:

@@ -390,13 +390,19 @@ ORACLE_SQL["maxflow"] = with_graph("customer_supplier") + """
 
 # Generators
 
-QUERIES["rmat"] = lambda spark, d: analyze.degree_distribution(generate.rmat(spark, 12))
+QUERIES["rmat"] = lambda spark, d: analyze.degree_distribution(generate.rmat(spark, generate.SCALE))
 QUERIES["uniform_graph"] = lambda spark, d: analyze.summary(generate.uniform(spark, 12)).select("vertex_count", "edge_count", "self_loops", "dangling_edges")
 ORACLE_SQL["uniform_graph"] = "SELECT 4094::BIGINT AS vertex_count, 65504::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
 QUERIES["rmat_summary"] = lambda spark, d: analyze.summary(generate.rmat(spark, 12)).select("vertex_count", "edge_count", "self_loops", "dangling_edges")
 ORACLE_SQL["rmat_summary"] = ORACLE_SQL["uniform_graph"]
-QUERIES["kronecker"] = lambda spark, d: analyze.degree_distribution(generate.kronecker(spark, 12))
-QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spark, [(2, 400), (5, 200), (20, 60)]))
+# The SQL of the two above is of scale 12.
+_COUNTS = ("vertex_count", "edge_count", "self_loops", "dangling_edges")
+QUERIES["uniform_graph_20"] = lambda spark, d: analyze.summary(generate.uniform(spark, generate.SCALE).written()).select(*_COUNTS)
+QUERIES["rmat_summary_20"] = lambda spark, d: analyze.summary(generate.rmat(spark, generate.SCALE).written()).select(*_COUNTS)
+ORACLE_SQL["uniform_graph_20"] = "SELECT 1048574::BIGINT AS vertex_count, 16777184::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
+ORACLE_SQL["rmat_summary_20"] = ORACLE_SQL["uniform_graph_20"]
+QUERIES["kronecker"] = lambda spark, d: analyze.degree_distribution(generate.kronecker(spark, generate.SCALE))
+QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spark, [(2, 635_500), (5, 317_750), (20, 95_324)]))
 
 # Streams
 

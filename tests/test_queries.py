@@ -25,6 +25,17 @@ def test_summary_counts_delivered_edges_that_end_nowhere(spark, duck):
     assert row.edge_count - nowhere == registry.QUERIES["graph_summary"](spark, DATA).first().edge_count
 
 
+@pytest.mark.parametrize("name", ["rmat", "bter"])
+def test_generators_at_the_default_scale(spark, name):
+    from arcweave.operators import generate
+
+    rows = registry.QUERIES[name](spark, DATA).collect()
+    vertices = (1 << generate.SCALE) - 2
+    assert sum(r.vertex_count for r in rows) == vertices
+    edges = sum(r.degree * r.vertex_count for r in rows)
+    assert edges == 16 * vertices > generate.BLOCK if name == "rmat" else edges > generate.BLOCK
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
