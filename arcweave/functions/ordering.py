@@ -1,37 +1,66 @@
 """Positions in a global order, and running sums along it, without a window over all rows.
 
-The rows are range-partitioned and sorted, each partition is numbered by itself, and the partitions' sums, one row per
-partition, are added up in front.  As range partitioning splits no run of equal keys, pass enough columns to make the
-order total where a third of all rows could be equal.
+The rows are range-partitioned and sorted once, each partition is numbered as it is written, and the partitions' sums,
+one row per partition, are added up in front.  As range partitioning splits no run of equal keys, pass enough columns to
+make the order total where a third of all rows could be equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.iterate import cut
+from ..plans.shipping import ship
+
+#: monotonically_increasing_id() has the number of the partition above, and that of the row in it below, this bit.
+_ROW_BITS = 33
+
+
+def _running(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.RecordBatch]:
+    """Replace the whole numbers in the columns `at` by their sums over the rows before in the partition."""
+    before = [0] * len(at)
+    for batch in batches:
+        columns = list(batch.columns)
+        for k, i in enumerate(at):
+            values = columns[i].fill_null(0).to_numpy()
+            upto = before[k] + np.cumsum(values, dtype=np.int64)
+            columns[i] = pa.array(upto - values)
+            before[k] = int(upto[-1]) if len(upto) else before[k]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
 def with_running(df: DataFrame, order: Sequence[str], index: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
-    """Add the 0-based index in the order, and for each (name, column) the sum of the column over the rows before.
+    """Add the 0-based index in the order, and for each (name, column) the sum of a column of whole numbers over the
+    rows before; null counts as 0.
 
     order: names of columns, with a '-' in front for descending. The order must be total for a defined result, and names
-    of added columns must not occur in df.
+    of added columns must not occur in df. Rows leave in order within, but not across, partitions.
     """
     sums = sums or {}
     by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
-    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
-    own = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums.values())))
+    given = [F.col(f"`{c}`").cast("long").alias(f"_s{i}") for i, c in enumerate(sums.values())]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", *given, F.monotonically_increasing_id().alias("_at"))
+    width = len(df.columns)
+    if sums:
+        ship(df.sparkSession)
+        # The value stays, and beside it goes its running sum.
+        placed = placed.select(*df.columns, *(f"_s{i}" for i in range(len(sums))), *(F.col(f"_s{i}").alias(f"_r{i}") for i in range(len(sums))), "_at")
+        at = list(range(width + len(sums), width + 2 * len(sums)))
+        placed = placed.mapInArrow(lambda it: _running(it, at), T.StructType(placed.schema.fields))
+    placed = cut(placed)
+    part, row = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    own = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.sum(f"_s{i}"), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    before = own.select("_part", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(n) for n in ["_n", *(f"_s{i}" for i in range(len(sums)))]))
-    within = Window.partitionBy("_part").orderBy(*by)
-    joined = placed.join(before, "_part")
-    added = [(F.col("_n") + F.row_number().over(within) - 1).cast("long").alias(index)] if index else []
-    for i, (name, c) in enumerate(sums.items()):
-        added.append((F.col(f"_s{i}") + F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(name))
+    before = own.select("_part", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_b{n}") for n in ["_n", *(f"_s{i}" for i in range(len(sums)))]))
+    joined = placed.join(F.broadcast(before), part == F.col("_part"))
+    added = [(F.col("_b_n") + row).alias(index)] if index else []
+    added += [(F.col(f"_b_s{i}") + F.col(f"_r{i}")).alias(name) for i, name in enumerate(sums)]
     return joined.select(*df.columns, *added)
 
 
