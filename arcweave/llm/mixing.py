@@ -5,7 +5,12 @@ schedule, given as weights at even steps of t and linear between them, scaled so
 the weight, times the size of the mix, is the demand for the source's tokens up to t.  The documents of a source lie
 behind each other in pseudo-random order on an axis of tokens, and behind the last one the source begins again, at most
 max_repeats times in all; what lies before the whole demand is taken, and its position in the mix is the inverse of the
-demand at its middle.  The mix is range-sorted by position.
+demand at its middle.  The mix is range-sorted by position, and numbered by the tokens that lie before.
+
+The schedules of several sources are relative, each to its own source: at t, the sources share what is placed there as
+their target shares times their weights do, so a source whose weight is high while others' are low has more than its
+share for a while, and the mix passes through t faster where the sum of these products is above 1.  As each schedule has
+mean 1, every source has its target share of the whole.
 
 Running sums of tokens are taken at two levels: a source is cut into buckets of about bucket_rows documents by the hash
 that also orders it, so a newspaper with a third of all documents is many small windows, and one window over the
@@ -24,6 +29,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_running
 from ..plans.iterate import cut
 from .bpe import TOKENIZER_DIR, VOCABULARY
 from .tokens import count_tokens
@@ -49,14 +55,47 @@ def _literal(segments: list[tuple[float, float, float, float]]) -> Column:
     return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(x, ("t", "w", "slope", "before")))) for x in segments))
 
 
+def _integral(t: Column) -> Column:
+    """The integral, from 0 to t, of the schedule in `pieces`."""
+    piece = F.element_at(F.filter("pieces", lambda x: x["t"] <= t), -1)
+    y = t - piece["t"]
+    return piece["before"] + piece["w"] * y + piece["slope"] * y * y / 2
+
+
 class Mix:
-    """documents: (doc_id, source, n_tokens, repeat, position) unsorted; report: one row per listed source."""
+    """documents: (doc_id, source, n_tokens, repeat, position, first_token), first_token being the number of tokens of the
+    mix that lie before; report: one row per listed source, added up from the documents as they are placed."""
 
-    def __init__(self, documents: DataFrame, report: DataFrame) -> None:
-        self.documents, self.report = documents, report
+    def __init__(self, documents: DataFrame, report: DataFrame, plan: DataFrame) -> None:
+        self.documents, self.report, self._plan = documents, report, plan
 
     def ordered(self) -> DataFrame:
-        return self.documents.orderBy("position", "doc_id", "repeat")
+        return self.documents.orderBy("first_token")
+
+    def course(self, parts: int = 10) -> DataFrame:
+        """(source, part, tokens, expected): the tokens of each source in each of so many even parts of the course, and
+        what its integrated weight asks for."""
+        each = self._plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        upto = _integral((F.col("part") + 1) / parts) - _integral(F.col("part") / parts)
+        each = each.select("source", "part", (F.when(F.col("max_repeats") > 0, F.col("taken")).otherwise(0.0) * upto).alias("expected"))
+        part = F.least(F.lit(parts - 1), F.floor(F.col("position") * parts)).cast("int").alias("part")
+        found = self.documents.groupBy("source", part).agg(F.sum("n_tokens").alias("tokens"))
+        return each.join(found, ["source", "part"], "left").select("source", "part", F.coalesce("tokens", F.lit(0)).alias("tokens"), "expected")
+
+    def checked(self, parts: int = 10) -> DataFrame:
+        """One row of counts of what is wrong with the mix; all 0 for a right one.
+
+        unordered: neighbours by first_token whose positions fall. gaps: neighbours where first_token does not go on by the
+        tokens between. over_repeats: documents placed more often than their source allows, equal ids apart. off_course:
+        sources and parts whose tokens differ from the integrated weight by more than two of the source's largest documents.
+        """
+        numbered = cut(with_running(self.documents, ["first_token"], index="i"))
+        after = numbered.select((F.col("i") - 1).alias("i"), F.col("position").alias("_position"), F.col("first_token").alias("_first"))
+        steps = numbered.join(after, "i").agg(F.count(F.when(F.col("_position") < F.col("position"), 1)).alias("unordered"), F.count(F.when(F.col("_first") != F.col("first_token") + F.col("n_tokens"), 1)).alias("gaps"))
+        over = self.documents.groupBy("source").agg((F.max("repeat") + 1).alias("most")).join(self._plan, "source").agg(F.count(F.when(F.col("most") > F.col("max_repeats"), 1)).alias("over_repeats"))
+        largest = self.documents.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+        off = self.course(parts).join(largest, "source", "left").agg(F.count(F.when(F.abs(F.col("tokens") - F.col("expected")) > 2 * F.coalesce("largest", F.lit(0)), 1)).alias("off_course"))
+        return steps.join(over).join(off)  # one row each
 
 
 def mix(documents: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequence[float]] | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Mix:
@@ -95,6 +134,7 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequen
     below = F.col("_p.w") + root
     position = F.col("_p.t") + F.when(below > 0, 2 * F.col("_y") / below).otherwise(0.0)
     placed = rows.select("doc_id", "source", "n_tokens", "repeat", position.alias("position"))
+    placed = cut(with_running(placed, ["position", "source", "doc_id", "repeat", "n_tokens"], sums={"first_token": "n_tokens"}))
 
     reached = placed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), (F.max("repeat") + 1).alias("most_repeats"))
     report = plan.select("source", "target_share", "max_repeats", "supply", "demand").join(reached, "source", "left").select(
@@ -102,4 +142,4 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequen
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "copies", "most_repeats")))
     whole = F.sum("tokens").over(Window.partitionBy())  # one row per listed source
     report = report.withColumn("share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)).withColumn("short", F.col("tokens") < F.col("demand"))
-    return Mix(placed, report)
+    return Mix(placed, report, plan)

@@ -24,6 +24,8 @@ from ..plans.iterate import cut
 K = 800
 GRID = 512
 BOUND = 1_000_000
+#: A table of brackets of up to so many rows, of about 60 bytes each, is broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def rank_error(k: int) -> float:
@@ -77,53 +79,126 @@ def high(values: str, rank: Column) -> Column:
     return F.element_at(values, (F.greatest(F.lit(0), F.least(F.lit(GRID), F.ceil(rank * GRID))) + 1).cast("int"))
 
 
+def _name(p: float) -> str:
+    return f"p{100 * p:g}".replace(".", "_")
+
+
 def percentiles(table: DataFrame, wanted: Sequence[float], k: int = K) -> DataFrame:
     """Add, for each wanted percentile p, p<100p> and its bounds p<100p>_low and p<100p>_high, and the rank error."""
     exact, e = F.col("n") <= k, rank_error(k)
     out = []
     for p in wanted:
-        name, value = f"p{100 * p:g}".replace(".", "_"), quantile(p)
+        name, value = _name(p), quantile(p)
         out += [value.alias(name), F.when(exact, value).otherwise(quantile(p - e)).alias(f"{name}_low"), F.when(exact, value).otherwise(quantile(p + e)).alias(f"{name}_high")]
     return table.select(*(c for c in table.columns if c != "sketch"), *out, F.when(exact, 0.0).otherwise(e).alias("rank_error"))
 
 
+def _beside(rows: DataFrame, table: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows(_key, _field, v) joined with a written table of some rows per group (_k, _f, n, ...), n being the group's size.
+
+    A table of at most most_rows rows is broadcast. Of a longer one, only the groups with more values than a quarter of
+    an average partition are, of which there are at most four per partition; the others are joined by shuffle.
+    """
+    on = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_field") == F.col("_f"))
+    if table.count() <= most_rows:
+        return rows.join(F.broadcast(table), on)
+    groups = table.select("_k", "_f", "n").distinct()
+    most = groups.agg(F.sum("n")).first()[0] / (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = rows.join(F.broadcast(table.where(F.col("n") > most)), on)
+    light = rows.join(F.broadcast(groups.where(F.col("n") > most)), on, "left_anti").join(table.where(F.col("n") <= most), on)
+    return heavy.unionByName(light)
+
+
+def _values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(_key, _field, v): a row for each finite value."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), finite(F.col(f"`{f}`")).alias("v")) for f in fields)))
+    return df.select(F.col(f"`{key}`").alias("_key"), stacked.alias("_s")).select("_key", F.col("_s.field").alias("_field"), F.col("_s.v").alias("v")).where("v is not null")
+
+
+_RANKS = {"a": F.floor, "b": F.ceil}
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, k: int) -> DataFrame:
+    """Add to each bracket what a pass over its group tells: how many values lie below, at its ends and between, the
+    first and last of those between and a sketch of them, the group's least and largest, and `a` and `b`, the values at
+    the ranks next to p, as far as they are known now."""
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    between = F.when((v > low) & (v < high), v)
+    found = _beside(rows, brackets).groupBy("_k", "_f", "p", "n", "low", "high").agg(
+        F.count(F.when(v < low, 1)).alias("below"), F.count(F.when(v == low, 1)).alias("at_low"), F.count(F.when((v == high) & (high > low), 1)).alias("at_high"),
+        F.count(between).alias("strict"), F.min(between).alias("first"), F.max(between).alias("last"), F.min("v").alias("least"), F.max("v").alias("most"),
+        F.kll_sketch_agg_double(between, F.lit(k)).alias("sketch"))
+    start, end = F.col("below") + F.col("at_low"), F.col("below") + F.col("at_low") + F.col("strict")
+    found = found.withColumn("start", start).withColumn("upto", end + F.col("at_high"))
+    for name, step in _RANKS.items():
+        r = step(F.col("p") * (F.col("n") - 1))
+        found = found.withColumn(name, F.when((r >= F.col("below")) & (r < start), low).when((r >= end) & (r < F.col("upto")), high)
+            .when((r == start) & (r < end), F.col("first")).when((r == end - 1) & (r >= start), F.col("last")))
+    return cut(found)
+
+
 def exact_percentiles(df: DataFrame, key: str, brackets: DataFrame, k: int = K, bound: int = BOUND) -> DataFrame:
-    """Exact, interpolated percentiles of the groups in brackets(key, field, p, n, low, high), where low and high enclose it.
+    """Exact, interpolated percentiles of the groups in brackets(key, field, p, n, low, high), where n is the number of
+    finite values and low and high are values that should enclose the percentile.
 
-    Only values inside a bracket are looked at one by one. A bracket over more values than the bound is first narrowed by
-    a sketch of the values inside it, as often as needed, so that no group is gathered whole.
+    A pass over the groups counts what lies below, at and between the ends. A bracket that does not enclose its ranks is
+    widened. A rank that falls on an end, or next to one, is answered at once, so equal values, however many, are never
+    gathered. What is left lies between the ends: at most `bound` values are ranked one by one, more of them are narrowed
+    by their sketch, whose values become the new ends. Every turn leaves fewer values between, so there is no limit of turns.
     """
     fields = [r[0] for r in brackets.select("field").distinct().collect()]  # at most the fields asked for
     if not fields:
         return brackets.select(key, "field", "p", F.lit(None).cast("double").alias("value"))
-    stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), finite(F.col(f"`{f}`")).alias("v")) for f in fields)))
-    rows = df.select(F.col(f"`{key}`").alias("_key"), stacked.alias("_s")).select("_key", F.col("_s.field").alias("_field"), F.col("_s.v").alias("v")).where("v is not null")
-    now = brackets.select(F.col(key).alias("_k"), F.col("field").alias("_f"), "p", "n", "low", "high")
-    for _ in range(8):
-        joined = rows.join(now, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_field") == F.col("_f")))
-        inside = F.col("v").between(F.col("low"), F.col("high"))
-        counted = cut(joined.groupBy("_k", "_f", "p", "n", "low", "high").agg(
-            F.count(F.when(F.col("v") < F.col("low"), 1)).alias("below"), F.count(F.when(inside, 1)).alias("inside"),
-            F.kll_sketch_agg_double(F.when(inside, F.col("v")), F.lit(k)).alias("sketch")))
-        most = counted.agg(F.max("inside")).first()[0]
-        if most is None or most <= bound:
-            break
-        rank = lambda r: (r - F.col("below")) / F.col("inside")
-        first = F.floor(F.col("p") * (F.col("n") - 1))
+    rows = _values(df, key, fields)
+    names = ["_k", "_f", "p", "n", "low", "high"]
+    now = cut(brackets.select(F.col(key).alias("_k"), F.col("field").alias("_f"), "p", "n", "low", "high"))
+    known, few = [], []
+    first, following = (step(F.col("p") * (F.col("n") - 1)) for step in _RANKS.values())
+    while not now.isEmpty():
+        counted = _counted(rows, now, k)
+        solved = F.col("a").isNotNull() & F.col("b").isNotNull()
+        missed = (first < F.col("below")) | (following >= F.col("upto"))
+        known.append(counted.where(solved).select("_k", "_f", "p", "n", "a", "b"))
+        rest = counted.where(~solved)
+        few.append(rest.where(~missed & (F.col("strict") <= bound)).select(*names, "start"))
+        wide = rest.where(missed).select("_k", "_f", "p", "n", F.when(first < F.col("below"), F.col("least")).otherwise(F.col("low")).alias("low"), F.when(following >= F.col("upto"), F.col("most")).otherwise(F.col("high")).alias("high"))
         room = F.lit(3 * rank_error(k))
-        narrowed = counted.withColumn("grid", F.kll_sketch_get_quantile_double("sketch", F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))))
-        narrowed = narrowed.withColumn("a", rank(first) - room).withColumn("b", rank(first + 2) + room)
-        now = narrowed.select("_k", "_f", "p", "n", F.when(F.col("a") > 0, low("grid", F.col("a"))).otherwise(F.col("low")).alias("low"), F.when(F.col("b") < 1, high("grid", F.col("b"))).otherwise(F.col("high")).alias("high"))
-    known = counted.select("_k", "_f", "p", "n", "low", "high", "below")
-    values = rows.join(known, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_field") == F.col("_f")) & F.col("v").between(F.col("low"), F.col("high")))
-    values = values.groupBy("_k", "_f", "p", "n", "below", "v").count()
-    upto = F.col("below") + F.sum("count").over(Window.partitionBy("_k", "_f", "p").orderBy("v"))
+        many = rest.where(~missed & (F.col("strict") > bound)).withColumn("grid", F.kll_sketch_get_quantile_double("sketch", F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))))
+        many = many.withColumn("from", (first - F.col("start")) / F.col("strict") - room).withColumn("to", (following + 1 - F.col("start")) / F.col("strict") + room)
+        narrow = many.select("_k", "_f", "p", "n", F.when(F.col("from") > 0, low("grid", F.col("from"))).otherwise(F.col("first")).alias("low"), F.when(F.col("to") < 1, high("grid", F.col("to"))).otherwise(F.col("last")).alias("high"))
+        now = cut(wide.unionByName(narrow))
+    listed = cut(_united(few))
+    if not listed.isEmpty():
+        values = _beside(rows, listed).where("v > low and v < high").groupBy("_k", "_f", "p", "n", "start", "v").count()
+        upto = F.col("start") + F.sum("count").over(Window.partitionBy("_k", "_f", "p").orderBy("v"))
+        ranked = values.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("count"))
+        pick = lambda r: F.max(F.when((F.col("since") <= r) & (r < F.col("upto")), F.col("v")))
+        known.append(ranked.groupBy("_k", "_f", "p", "n").agg(pick(first).alias("a"), pick(following).alias("b")))
     at = F.col("p") * (F.col("n") - 1)
-    ranked = values.withColumn("upto", upto).withColumn("since", F.col("upto") - F.col("count"))
-    pick = lambda r: F.max(F.when((F.col("since") <= r) & (r < F.col("upto")), F.col("v")))
-    found = ranked.groupBy("_k", "_f", "p", "n").agg(pick(F.floor(at)).alias("a"), pick(F.ceil(at)).alias("b"))
-    value = F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))
-    return found.select(F.col("_k").alias(key), F.col("_f").alias("field"), "p", value.alias("value"))
+    value = F.col("a") + (at - first) * (F.col("b") - F.col("a"))
+    return _united(known).select(F.col("_k").alias(key), F.col("_f").alias("field"), "p", value.alias("value"))
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def misplaced(df: DataFrame, key: str, table: DataFrame, wanted: Sequence[float], k: int = K) -> DataFrame:
+    """(key, field, n, outside) of each group of a table of percentiles(): how many of the wanted ones are values whose
+    true rank is further from the wanted one than three times the stated error (for groups that are exact, at all)."""
+    fields = [r[0] for r in table.select("field").distinct().collect()]
+    asked = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(_name(p)).alias("x")) for p in wanted))).alias("_a")
+    asked = cut(table.where("n > 0").select(F.col(key).alias("_k"), F.col("field").alias("_f"), "n", asked).select("_k", "_f", "n", "_a.p", "_a.x"))
+    if not fields or asked.isEmpty():
+        return table.select(key, "field", "n", F.lit(0).cast("long").alias("outside"))
+    counts = _beside(_values(df, key, fields), asked).groupBy("_k", "_f", "n", "p").agg(F.count(F.when(F.col("v") < F.col("x"), 1)).alias("less"), F.count(F.when(F.col("v") <= F.col("x"), 1)).alias("upto"))
+    rank = F.col("p") * F.col("n")
+    away = F.greatest(F.col("less") - rank, rank - F.col("upto"), F.lit(0.0)) > F.when(F.col("n") <= k, 0.0).otherwise(3 * rank_error(k) * F.col("n")) + 1
+    bad = counts.groupBy("_k", "_f").agg(F.count(F.when(away, 1)).alias("outside"))
+    return table.select(key, "field", "n").join(bad, F.col(key).eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_f")), "left").select(key, "field", "n", F.coalesce("outside", F.lit(0)).alias("outside"))
 
 
 def heavy_tails(df: DataFrame, key: str, fields: Sequence[str], least: int = 40, high_at: float = 0.9, times: float = 4.0, k: int = K) -> DataFrame:

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.iterate import cut as cut_table
 from ..plans.shipping import ship
 from .bpe import TOKENIZER_DIR, VOCABULARY, Encoder, encoder, utf8
-from .tokens import parts
+from .tokens import count_tokens, parts
 
 LIMIT, OVERLAP = 1024, 64
 MASK_BITS = 10
@@ -176,6 +177,14 @@ def split(tool: Encoder, texts: list[_Text], limit: int = LIMIT, overlap: int =
     return out
 
 
+def _must_join(cuts: list[tuple[int, int, str, bytes]], tokens: int, limit: int, overlap: int) -> None:
+    """Raise unless the pieces are within the limit, share the overlap and cover all tokens."""
+    starts, ends = [c[0] for c in cuts], [c[1] for c in cuts]
+    joined = starts == [0, *(e - overlap for e in ends[:-1])] and ends[-1] == tokens and cuts[-1][2] == "end"
+    if not joined or any(not a < b <= a + limit for a, b in zip(starts, ends)):
+        raise AssertionError(f"pieces of {tokens} tokens that do not join: {list(zip(starts, ends))[:5]}")
+
+
 def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, piece, n_pieces, first_token, n_tokens, cut, boundary[, text]): `cut` is the kind of boundary at the piece's
     end, or 'end'; `boundary` is null for texts within the limit."""
@@ -193,6 +202,8 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
                 long = [i for i, n in enumerate(counts) if n > limit]
                 kinds = dict(zip(long, coarsest(tool, [raw[i] for i in long], limit)))
                 cuts = dict(zip(long, split(tool, [_Text(tool, raw[i], ids[upto[i] - counts[i] : upto[i]]) for i in long], limit, overlap)))
+                for i in long:
+                    _must_join(cuts[i], int(counts[i]), limit, overlap)
                 owner, columns = [], ([], [], [], [], [], [], [])
                 for i, t in enumerate(raw):
                     own = cuts.get(i) or [(0, int(counts[i]), "end", t)]
@@ -210,3 +221,42 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
     kinds = [documents.schema[key].dataType, T.IntegerType(), T.IntegerType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     return documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def checked(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row: documents with pieces, and counts of what is wrong with pieces(), all 0 if nothing is. Keys are unique.
+
+    over_limit: pieces over the limit, and over_limit_alone: when encoded by themselves, which is done anew here.
+    not_joined: pieces that do not begin `overlap` tokens before the one in front ends. not_whole: documents whose pieces do
+    not reach from the first token to the last, or are not numbered through. not_of_text: pieces that are no part of the
+    text, or where the first is not at its start or the last at its end. wrong_cut: cuts of no known kind, and cuts at the
+    end of a block, line or word where the white space in the text is that of another kind. wrong_boundary: a boundary for a document in one piece, or none for one in several.
+    """
+    made = cut_table(pieces(documents, key, text, limit, overlap, True, directory, vocabulary).withColumnRenamed(key, "_key"))
+    alone = count_tokens(made, ["_key"], "text", directory, vocabulary).agg(F.count(F.when(F.col("n_tokens") > limit, 1)).alias("over_limit_alone"))
+    sizes = count_tokens(documents.where(F.col(f"`{text}`").isNotNull()), [key], text, directory, vocabulary).select(F.col(key).alias("_key"), F.col("n_tokens").alias("all_tokens"))
+    own = Window.partitionBy("_key").orderBy("piece")  # the pieces of one document
+    wrong = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    joined = made.withColumn("start", F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens") - overlap).over(own), F.lit(0)))
+    several, last = F.col("n_pieces") > 1, F.col("piece") == F.col("n_pieces") - 1
+    known = F.when(last, F.col("cut") == "end").otherwise(F.col("cut").isin(*KINDS))
+    by_piece = joined.agg(
+        wrong(F.col("n_tokens") > limit, "over_limit"), wrong(F.col("first_token") != F.col("start"), "not_joined"),
+        wrong(several != F.col("boundary").isNotNull(), "wrong_boundary"))
+    whole = made.groupBy("_key").agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("reached"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("n_pieces"), F.countDistinct("piece").alias("numbers"), F.max("piece").alias("last"))
+    whole = sizes.join(whole, "_key", "full").agg(
+        F.count("n").alias("documents"),
+        wrong(~((F.col("reached") == F.col("all_tokens")) & (F.col("n") == F.col("n_pieces")) & (F.col("numbers") == F.col("n")) & (F.col("last") == F.col("n") - 1)) | F.col("n").isNull(), "not_whole"))
+    given = documents.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
+    inside = made.join(given, "_key")
+    at = F.expr("locate(text, _text)")
+    part = (at > 0) & ((F.col("piece") > 0) | F.expr("startswith(_text, text)")) & (~last | F.expr("endswith(_text, text)"))
+    # What follows the piece, where the piece is in the text only once.
+    rest = F.expr("substring(_text, locate(text, _text) + char_length(text), 2000)")
+    once = F.expr("locate(text, _text, locate(text, _text) + 1) = 0")
+    space = {"block": r"^[ \t\r]*\n[ \t\r]*\n", "line": r"^[ \t\r]*\n(?![ \t\r]*\n)", "word": r"^[ \t\r]+(?![ \t\r\n])"}
+    no_end = F.lit(False)
+    for kind, pattern in space.items():
+        no_end = no_end | ((F.col("cut") == kind) & once & ~rest.rlike(pattern))
+    in_text = inside.agg(wrong(~part, "not_of_text"), wrong(~known | no_end, "wrong_cut"))
+    return whole.join(by_piece).join(alone).join(in_text).select("documents", "over_limit", "over_limit_alone", "not_joined", "not_whole", "not_of_text", "wrong_cut", "wrong_boundary")  # one row each

@@ -1,19 +1,21 @@
 """How often every term, and every sequence of up to sigma terms, occurs, and in how many records.
 
-A record's suffixes, truncated to sigma terms, stand for all sequences that begin where they begin.  Equal suffixes are
-combined within each task, then routed by their first term, with a shuffle of partial counts, sorted in reverse lexicographic order, and one pass with a
-stack adds up the counts of all prefixes: when the next suffix no longer begins with an open prefix, that prefix is
-complete and is put out.  The pass works on whole Arrow batches; where the common prefix of neighbours ends, an entry of
-the stack is popped, and what is open at the end of a batch is carried on.
+A record's suffixes, truncated to sigma terms, stand for all sequences that begin where they begin.  They are routed by
+their first term, sorted in reverse lexicographic order, and one pass with a stack adds up the counts of all prefixes:
+when the next suffix no longer begins with an open prefix, that prefix is complete and is put out.  The pass works on
+whole Arrow batches; where the common prefix of neighbours ends, an entry of the stack is popped, and what is open at
+the end of a batch is carried on.
 
 The set of records of a sequence is kept as a count: a suffix brings, for each prefix length, whether its record has
 that prefix here for the first time.  As a record is one row, these flags are exact and no record ids are gathered.
 
-With sigma = 1 a task leaves a term few rows, one for each COMBINED_ROWS, so one in a third of all rows needs no more care.  With
-more, the suffixes of a frequent first term are routed to several partitions and the prefixes' counts are added up.
+Equal suffixes are added up within each task before they are shuffled.  A first term with a large share of the rows that
+a task holds is routed to several partitions, by a salt from the whole suffix, so no partition gets all suffixes of a
+term in a third of all rows; the prefixes' counts of the partitions are added up in the end.
 
 Defined results: null terms are left out before sequences are formed; records without terms, and null records, have no
-sequences; an empty table has no rows.  Terms are integers or strings.
+sequences; repeated records count each; an empty table has no rows; other columns are not read, so their names don't
+matter.  Terms are integers or strings.
 """
 
 from __future__ import annotations
@@ -31,24 +33,69 @@ from pyspark.sql import types as T
 from ..plans.shipping import ship
 
 SALTS = 32
-#: Rows that a task holds to combine them, and rows of a batch that it passes on.
-COMBINED_ROWS, OUT_ROWS = 1 << 19, 1 << 16
+#: A first term is salted where it has more than this share of the rows that a task holds.
+HOT_SHARE = 1 / 64
+#: Rows that a task holds to combine them, rows of a batch that it passes on, and terms whose suffixes are formed at once.
+COMBINED_ROWS, OUT_ROWS, PART_TERMS = 1 << 19, 1 << 16, 1 << 18
 
 
-def _changes(column: pa.Array, last) -> np.ndarray:
-    """Where a value differs from the one before; null equals null. last: the value before the first."""
-    before = pa.concat_arrays([pa.array([last], column.type), column.slice(0, len(column) - 1)])
-    same = pc.fill_null(pc.equal(column, before), False)
-    return ~pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(before))).to_numpy(zero_copy_only=False)
+def _names(sigma: int) -> tuple[list[str], list[str]]:
+    return [f"t{i + 1}" for i in range(sigma)], ["n"] + [f"d{i + 1}" for i in range(sigma)]
+
 
+def _parts(column: pa.ListArray, most: int) -> Iterator[pa.ListArray]:
+    """Runs of records with about `most` terms each; a longer record is one of its own."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)) // most
+    heads = np.flatnonzero(np.diff(upto, prepend=-1))
+    for a, b in zip(heads, [*heads[1:], len(column)]):
+        yield column.slice(int(a), int(b - a))
 
-def combine(batches: Iterator[pa.RecordBatch], sigma: int, rows: int = COMBINED_ROWS) -> Iterator[pa.RecordBatch]:
-    """Equal suffixes of a task added up, as far as they lie within about `rows` rows; the rest is left to the stack."""
-    terms, sums = [f"t{i + 1}" for i in range(sigma)], ["n"] + [f"d{i + 1}" for i in range(sigma)]
+
+def record_suffixes(batches: Iterator[pa.RecordBatch], sigma: int, most: int = PART_TERMS) -> Iterator[pa.RecordBatch]:
+    """From records (an array of terms each) to their truncated suffixes (t1..ts, n, d1..ds)."""
+    terms, sums = _names(sigma)
+    for batch in batches:
+        for part in _parts(batch.column(0), most):
+            record, value = pc.list_parent_indices(part).to_numpy(), pc.list_flatten(part)
+            there = value.is_valid().to_numpy(zero_copy_only=False)
+            record, value = record[there], value.filter(pa.array(there))
+            size = len(value)
+            if not size:
+                continue
+            code = pc.dictionary_encode(value).indices.to_numpy().astype(np.int64)
+            place = np.arange(size)
+            # A sequence of one record is a number: that of its first terms and the code of its last one.
+            group, columns, flags = record.astype(np.int64), [], []
+            for length in range(1, sigma + 1):
+                at = place + length - 1
+                inside = at < size
+                at = np.minimum(at, size - 1)
+                inside &= record[at] == record
+                columns.append(value.take(pa.array(at, mask=~inside)))
+                group[inside] = group[inside] * size + code[at[inside]]
+                _, first, inverse = np.unique(group[inside], return_index=True, return_inverse=True)
+                new = np.zeros(size, np.int64)
+                new[place[inside][first]] = 1
+                group[inside] = inverse
+                flags.append(pa.array(new))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(size, np.int64)), *flags], [*terms, *sums])
+
+
+def combine(batches: Iterator[pa.RecordBatch], sigma: int, rows: int = COMBINED_ROWS, salts: int = SALTS) -> Iterator[pa.RecordBatch]:
+    """Equal suffixes of a task added up, as far as they lie within about `rows` rows, with the salt of their route."""
+    terms, sums = _names(sigma)
 
     def added(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).group_by(terms, use_threads=False).aggregate([(c, "sum") for c in sums])
-        yield from table.select([*terms, *(f"{c}_sum" for c in sums)]).rename_columns([*terms, *sums]).to_batches(max_chunksize=OUT_ROWS)
+        table = table.select([*terms, *(f"{c}_sum" for c in sums)]).rename_columns([*terms, *sums])
+        salt = np.zeros(len(table), np.int32)
+        if sigma > 1:
+            first = table.column("t1").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            count = np.bincount(first)
+            hot = np.flatnonzero((count > HOT_SHARE * rows)[first])
+            # Any spread will do, as counts are added up afterwards: here, by turns.
+            salt[hot] = np.arange(len(hot)) % salts
+        yield from table.append_column("salt", pa.array(salt)).to_batches(max_chunksize=OUT_ROWS)
 
     held, size = [], 0
     for batch in batches:
@@ -61,8 +108,15 @@ def combine(batches: Iterator[pa.RecordBatch], sigma: int, rows: int = COMBINED_
         yield from added(held)
 
 
-def prefix_sums(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.RecordBatch]:
-    """From sorted (t1..ts, n, d1..ds) to (t1..ts, length, n, d) of every prefix."""
+def _changes(column: pa.Array, last) -> np.ndarray:
+    """Where a value differs from the one before; null equals null. last: the value before the first."""
+    before = pa.concat_arrays([pa.array([last], column.type), column.slice(0, len(column) - 1)])
+    same = pc.fill_null(pc.equal(column, before), False)
+    return ~pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
+
+def prefix_sums(batches: Iterator[pa.RecordBatch], sigma: int, lengths: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """From sorted (t1..ts, n, d1..ds) to (t1..ts, length, n, d) of every prefix of these lengths."""
     open_: list[list | None] = [None] * sigma  # per length: [terms, n, d]
     names = [f"t{i + 1}" for i in range(sigma)] + ["length", "n", "d"]
     types: list[pa.DataType] = []
@@ -85,11 +139,13 @@ def prefix_sums(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.Re
         types = [c.type for c in columns]
         n = batch.column(sigma).to_numpy()
         changed = np.zeros(size, bool)
-        for length in range(1, sigma + 1):
+        for length in range(1, max(lengths) + 1):
             c = columns[length - 1]
             changed = changed | _changes(c, last[length - 1] if last else None)
             if last is None:
                 changed[0] = True
+            if length not in lengths:
+                continue
             d = batch.column(sigma + length).to_numpy()
             heads = np.flatnonzero(changed)
             if not len(heads) or heads[0] != 0:
@@ -109,75 +165,42 @@ def prefix_sums(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.Re
                 yield out([columns[i].take(rows) for i in range(length)], length, ns[done], ds[done])
             open_[length - 1] = [[columns[i][size - 1].as_py() for i in range(length)], int(ns[-1]), int(ds[-1])] if is_there[-1] else None
         last = [c[size - 1].as_py() for c in columns]
-    for length in range(1, sigma + 1):
+    for length in lengths:
         if open_[length - 1] is not None:
             yield popped(length)
 
 
-def record_suffixes(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.RecordBatch]:
-    """From records (an array of terms each) to their truncated suffixes (t1..ts, n, d1..ds)."""
-    for batch in batches:
-        kind = batch.column(0).type.value_type
-        rows: list[list] = [[] for _ in range(sigma)]
-        flags: list[list[int]] = [[] for _ in range(sigma)]
-        for record in batch.column(0).to_pylist():
-            record = [t for t in record or () if t is not None]
-            seen: set[tuple] = set()
-            for i in range(len(record)):
-                suffix = tuple(record[i : i + sigma])
-                for length in range(1, sigma + 1):
-                    there = length <= len(suffix)
-                    rows[length - 1].append(suffix[length - 1] if there else None)
-                    new = there and suffix[:length] not in seen
-                    flags[length - 1].append(int(new))
-                    if new:
-                        seen.add(suffix[:length])
-        size = len(rows[0])
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(r, kind) for r in rows), pa.array(np.ones(size, np.int64)), *(pa.array(f, pa.int64()) for f in flags)],
-            [f"t{i + 1}" for i in range(sigma)] + ["n"] + [f"d{i + 1}" for i in range(sigma)])
-
-
-def _aggregate(suffixes: DataFrame, sigma: int, kind: T.DataType, salts: int) -> DataFrame:
-    ship(suffixes.sparkSession)
-    terms = [f"t{i + 1}" for i in range(sigma)]
-    combined = suffixes.mapInArrow(lambda it: combine(it, sigma), suffixes.schema)
-    route = [F.col("t1")] + [F.pmod(F.xxhash64(*terms), F.lit(salts))] * (sigma > 1)
-    combined = combined.repartition(*route)
-    ordered = combined.sortWithinPartitions(*(F.desc(t) for t in terms))
-    schema = T.StructType([*(T.StructField(t, kind) for t in terms), T.StructField("length", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("d", T.LongType())])
-    prefixes = ordered.mapInArrow(lambda it: prefix_sums(it, sigma), schema)
-    if sigma > 1:
-        prefixes = prefixes.groupBy(*terms, "length").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    return prefixes.withColumnRenamed("n", "occurrences").withColumnRenamed("d", "records")
-
+def sequence_counts(df: DataFrame, terms: str, sigma: int, lengths: Sequence[int] | None = None, salts: int = SALTS) -> DataFrame:
+    """(t1..ts, length, occurrences, records) of every sequence of up to sigma terms of the array column `terms`.
 
-def sequence_counts(df: DataFrame, terms: str, sigma: int, salts: int = SALTS) -> DataFrame:
-    """(t1..ts, length, occurrences, records) of every sequence of up to sigma terms of the array column `terms`."""
+    lengths: which lengths are put out, by default all from 1 to sigma; terms beyond a sequence's length are null.
+    """
+    lengths = sorted(set(lengths or range(1, sigma + 1)))
+    if sigma < 1 or lengths[0] < 1 or lengths[-1] > sigma:
+        raise ValueError("lengths from 1 to sigma")
     ship(df.sparkSession)
     kind = df.schema[terms].dataType.elementType
-    names = [f"t{i + 1}" for i in range(sigma)]
-    schema = T.StructType([*(T.StructField(t, kind) for t in names), T.StructField("n", T.LongType()), *(T.StructField(f"d{i + 1}", T.LongType()) for i in range(sigma))])
-    suffixes = df.select(F.col(f"`{terms}`").alias("terms")).mapInArrow(lambda it: record_suffixes(it, sigma), schema)
-    return _aggregate(suffixes, sigma, kind, salts)
+    names, sums = _names(sigma)
+    columns = [T.StructField(t, kind) for t in names]
+    suffix = T.StructType([*columns, *(T.StructField(c, T.LongType()) for c in sums), T.StructField("salt", T.IntegerType())])
+    prefix = T.StructType([*columns, T.StructField("length", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("d", T.LongType())])
+    suffixes = df.select(F.col(f"`{terms}`").alias("terms")).mapInArrow(lambda it: combine(record_suffixes(it, sigma), sigma, salts=salts), suffix)
+    ordered = suffixes.repartition("t1", "salt").sortWithinPartitions(*(F.desc(t) for t in names))
+    prefixes = ordered.mapInArrow(lambda it: prefix_sums(it, sigma, lengths), prefix)
+    shown = [t for i, t in enumerate(names) if i < lengths[-1]]
+    if sigma > 1:
+        prefixes = prefixes.groupBy(*shown, "length").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return prefixes.select(*shown, "length", F.col("n").alias("occurrences"), F.col("d").alias("records"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(value, occurrences, records) of every value in any of the columns; a row is a record. Sequences of one term.
+def row_counts(df: DataFrame, columns: Sequence[str], lengths: Sequence[int] | None = None) -> DataFrame:
+    """sequence_counts() of rows as records, whose terms are the fields in these columns, in this order and of one type."""
+    return sequence_counts(df.select(F.array(*(F.col(f"`{c}`") for c in columns)).alias("terms")), "terms", len(columns), lengths)
 
-    The columns are of one type. Suffixes are formed without Python, as a row has few fields.
-    """
-    cells = [F.col(f"`{c}`") for c in columns]
-    new = [F.lit(True)]
-    for i in range(1, len(cells)):
-        seen = F.lit(False)
-        for j in range(i):
-            seen = seen | cells[i].eqNullSafe(cells[j])
-        new.append(~seen)
-    # Counts as INT, and per occurrence only the term and its flag, keep the rows of the map side narrow.
-    suffix = F.explode(F.array(*(F.struct(c.alias("t1"), x.cast("long").alias("d1")) for c, x in zip(cells, new))))
-    suffixes = df.select(suffix.alias("s")).select("s.t1", F.lit(1).cast("long").alias("n"), "s.d1").where("t1 is not null")
-    return _aggregate(suffixes, 1, df.schema[columns[0]].dataType, 1).select(F.col("t1").alias("value"), "occurrences", "records")
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(value, occurrences, records) of every value in any of the columns: a row's sequences of one term."""
+    return row_counts(df, columns, [1]).select(F.col("t1").alias("value"), "occurrences", "records")
 
 
 def marked(counts: DataFrame, total_records: int, rare: int = 2, common: float = 0.02) -> DataFrame:

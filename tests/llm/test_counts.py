@@ -73,6 +73,48 @@ def test_exact_percentiles_narrow_a_wide_bracket(spark):
     assert got == pytest.approx({p: np.percentile(values, 100 * p) for p in (0.0, 0.37, 0.5, 1.0)})
 
 
+def _brackets(spark, rows):
+    return spark.createDataFrame(rows, "config_id long, field string, n long, p double, low double, high double")
+
+
+def test_brackets_that_miss_are_widened(spark):
+    df = runs(spark, [(1, float(v), 1, 0, "x", "y") for v in range(1000)])
+    rows = [(1, "exec", 1000, p, a, b) for p, a, b in ((0.5, 600.0, 700.0), (0.25, 2000.0, 3000.0), (0.75, -9.0, -3.0), (0.3, 100.0, 200.0), (0.6, 599.4, 599.4))]
+    for bound in (1_000_000, 50):
+        got = {r.p: r.value for r in percentiles.exact_percentiles(df, "config_id", _brackets(spark, rows), k=100, bound=bound).collect()}
+        assert got == pytest.approx({p: np.percentile(np.arange(1000), 100 * p) for p in (0.5, 0.25, 0.75, 0.3, 0.6)})
+
+
+def test_equal_values_are_never_gathered(spark, monkeypatch):
+    """A million equal values are answered by one pass, and a few more by two, whatever the bound."""
+    passes = []
+    plain = percentiles._counted
+    monkeypatch.setattr(percentiles, "_counted", lambda *x: passes.append(1) or plain(*x))
+    equal = spark.range(1_000_000).selectExpr("1 AS config_id", "7.0D AS exec")
+    got = percentiles.exact_percentiles(equal, "config_id", _brackets(spark, [(1, "exec", 1_000_000, 0.5, 7.0, 7.0), (1, "exec", 1_000_000, 0.9, 7.0, 7.0)]), bound=10).collect()
+    assert [r.value for r in got] == [7.0, 7.0] and len(passes) == 1
+    mostly = equal.union(spark.range(1000).selectExpr("1", "CAST(id AS DOUBLE) / 100"))
+    got = percentiles.exact_percentiles(mostly, "config_id", _brackets(spark, [(1, "exec", 1_001_000, 0.5, 1.0, 9.0)]), bound=10).collect()
+    assert [r.value for r in got] == [7.0] and len(passes) <= 4
+
+
+def test_groups_beyond_a_broadcast_are_split(spark):
+    rows = [(0, float(i % 50), 1, 0, "x", "y") for i in range(4000)] + [(c, float(i), 1, 0, "x", "y") for c in range(1, 30) for i in range(20)]
+    table = spark.createDataFrame([(0, "exec", 4000, 1.0)] + [(c, "exec", 20, 2.0) for c in range(1, 30)], "_k long, _f string, n long, x double")
+    values = percentiles._values(runs(spark, rows), "config_id", ["exec"])
+    whole, split = percentiles._beside(values, table), percentiles._beside(values, table, most_rows=5)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) and split.count() == len(rows)
+
+
+def test_misplaced_values_are_found(spark):
+    rows = [(1, float(v), None, 0, "x", "y") for v in range(5000)] + [(2, 3.0, None, 0, "x", "y")]
+    df = runs(spark, rows)
+    table = percentiles.percentiles(percentiles.sketches(df, [F.col("config_id")], ["exec", "alpha"], 100), (0.5, 0.9), 100)
+    assert {(r.config_id, r.field): (r.n, r.outside) for r in percentiles.misplaced(df, "config_id", table, (0.5, 0.9), 100).collect()} == {(1, "exec"): (5000, 0), (2, "exec"): (1, 0), (1, "alpha"): (0, 0), (2, "alpha"): (0, 0)}
+    wrong = table.withColumn("p90", F.col("p50"))
+    assert {r.config_id: r.outside for r in percentiles.misplaced(df, "config_id", wrong, (0.5, 0.9), 100).where("field = 'exec'").collect()} == {1: 1, 2: 0}
+
+
 def test_top_values(spark):
     df = spark.createDataFrame([(5, 1)] * 100 + [(7, 1)] * 3 + [(6, 1)] * 3 + [(1, 1)] + [(None, 1)] * 500, "value long, n int")
     assert [tuple(r) for r in frequent.top_values(df, "value", 3).collect()] == [(5, 100), (6, 3), (7, 3)]
@@ -97,13 +139,31 @@ def test_value_counts(spark):
     assert terms.value_counts(df.limit(0), ["src", "dst"]).count() == 0
 
 
-def test_the_stack_adds_up_counts_of_tasks(spark):
-    """Partial counts of a term from several tasks come to the stack, and there is no other aggregation."""
-    df = spark.createDataFrame([(i % 3, 5) for i in range(60)], "src long, dst long").repartition(6)
-    counts = terms.value_counts(df, ["src", "dst"])
+def test_suffixes_are_sorted_for_the_stack(spark, monkeypatch):
+    """A row is a record of two terms; its suffixes, those of a hot first term spread by salts, come to the stack sorted."""
+    df = spark.createDataFrame([(i % 3, 100 + i // 3) for i in range(300)] + [(7, 7), (None, 7), (8, None)], "src long, dst long")
+    counts = terms.row_counts(df, ["src", "dst"])
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate" not in plan and plan.count("MapInArrow") == 2
-    assert {tuple(r) for r in counts.collect()} == {(0, 20, 20), (1, 20, 20), (2, 20, 20), (5, 60, 60)}
+    assert plan.count("MapInArrow") == 2 and plan.index("Aggregate") < plan.index("MapInArrow") < plan.index("Sort [t1") < plan.rindex("MapInArrow")
+    expected = {(i, None): (100, 100) for i in range(3)} | {(100 + i, None): (3, 3) for i in range(100)} | {(i % 3, 100 + i // 3): (1, 1) for i in range(300)}
+    expected |= {(7, None): (3, 2), (8, None): (1, 1), (7, 7): (1, 1)}
+    assert {(r.t1, r.t2): (r.occurrences, r.records) for r in counts.collect()} == expected
+    batch = pa.RecordBatch.from_pydict({"t1": [1] * 40 + list(range(50, 90)), "t2": [*range(80)], **{c: [1] * 80 for c in ("n", "d1", "d2")}})
+    monkeypatch.setattr(terms, "HOT_SHARE", 0.1)
+    (got,) = terms.combine(iter([batch]), 2, rows=80, salts=4)
+    salts = Counter(r["salt"] for r in got.to_pylist() if r["t1"] == 1)
+    assert salts == {0: 10, 1: 10, 2: 10, 3: 10} and {r["salt"] for r in got.to_pylist() if r["t1"] != 1} == {0}
+    with pytest.raises(ValueError):
+        terms.row_counts(df, ["src", "dst"], [3])
+
+
+def test_long_records_are_parts_of_their_own():
+    column = pa.array([[1, 2], None, list(range(30)), [], [5, 5, 5], [None, 6]], pa.list_(pa.int64()))
+    whole = pa.Table.from_batches(terms.record_suffixes(iter([pa.RecordBatch.from_arrays([column], ["terms"])]), 2)).to_pylist()
+    parts = list(terms.record_suffixes(iter([pa.RecordBatch.from_arrays([column], ["terms"])]), 2, most=10))
+    assert len(parts) == 2 and pa.Table.from_batches(parts).to_pylist() == whole
+    fives = [r for r in whole if r["t1"] == 5 and r["t2"] in (5, None)]
+    assert [(r["t2"], r["d1"], r["d2"]) for r in fives if r["t2"] == 5] == [(5, 1, 1), (5, 0, 0)] and (None, 0, 0) in [(r["t2"], r["d1"], r["d2"]) for r in fives]
 
 
 def test_combine_keeps_sums():

@@ -66,10 +66,31 @@ def test_schedule(spark, targets):
             mixing.mix(documents, targets, {"a": bad})
 
 
+def test_course_and_checks(spark, targets):
+    from pyspark.sql import functions as F
+
+    documents = made(spark, {"a": 400, "b": 300, "c": 20, "zero": 3})
+    mix = mixing.mix(documents, targets, {"a": [0.0, 1.0]})
+    course = {(r.source, r.part): (r.tokens, r.expected) for r in mix.course(4).collect()}
+    whole = {r.source: r for r in mix.report.collect()}
+    assert len(course) == 4 * 6 and course[("zero", 2)] == (0, 0.0)
+    for i, part in enumerate((1 / 16, 3 / 16, 5 / 16, 7 / 16)):
+        assert course[("a", i)][1] == pytest.approx(part * min(whole["a"].demand, whole["a"].max_repeats * whole["a"].supply))
+    assert sum(course[("a", i)][0] for i in range(4)) == whole["a"].tokens
+    assert set(mix.checked().first()) == {0}
+    placed = mix.documents
+    late = placed.withColumn("position", F.when(F.col("first_token") == 0, 1.0).otherwise(F.col("position")))
+    gap = placed.where(F.col("first_token") != placed.where("first_token > 100").agg(F.min("first_token")).first()[0])
+    often = placed.withColumn("repeat", F.col("repeat") + 9)
+    other = placed.withColumn("position", F.col("position") / 2)
+    for wrong, name in ((late, "unordered"), (gap, "gaps"), (often, "over_repeats"), (other, "off_course")):
+        assert mixing.Mix(wrong, mix.report, mix._plan).checked().first()[name] > 0
+
+
 def test_nothing_to_mix(spark, targets):
     empty = spark.createDataFrame([], DOCUMENTS)
     mix = mixing.mix(empty, targets)
-    assert mix.documents.count() == 0
+    assert mix.documents.count() == 0 and set(mix.checked().first()) == {0}
     assert {r.source: (r.tokens, r.share, r.short) for r in mix.report.collect()}["a"] == (0, 0.0, False)
     none = mixing.mix(made(spark, {"a": 3}), targets.limit(0))
     assert none.documents.count() == 0 and none.report.count() == 0

@@ -37,15 +37,22 @@ def test_mix_shortfalls_by_brute_force(spark):
 
 
 def test_curriculum_moves_tokens_but_keeps_shares(spark):
+    from arcweave.llm import mixing
+
     folder = "/root/testdata/sf0.01"
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     tokens = lambda rows: {s: sum(r.n_tokens for r in rows if r.source == s) for s in {r.source for r in rows}}
-    rows, plain = queries.p7_curriculum(spark, folder).collect(), queries.p7_mix(spark, folder).collect()
-    assert tokens(rows) == tokens(plain) and [r.position for r in rows] == sorted(r.position for r in rows)
-    assert {(r.doc_id, r.repeat) for r in rows} == {(r.doc_id, r.repeat) for r in plain}
+    rows, plain = queries.p7_mix(spark, folder).collect(), mixing.mix(read("documents"), read("mix_targets")).documents.collect()
+    assert tokens(rows) == tokens(plain) and {(r.doc_id, r.repeat) for r in rows} == {(r.doc_id, r.repeat) for r in plain}
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    before = 0
+    for r in rows:
+        assert r.first_token == before
+        before += r.n_tokens
     # Integrals of the schedules up to a half and a quarter.
     parts = {(0.5, 1.5): (0.375, 0.15625), (1.5, 0.5): (0.625, 0.34375), (0.5, 1.5, 0.5): (0.5, 0.1875)}
     whole, seen = tokens(rows), set()
-    for source, weights in queries.schedules(spark.read.parquet(f"{folder}/mix_targets.parquet")).items():
+    for source, weights in queries.schedules(read("mix_targets")).items():
         own = [r for r in rows if r.source == source]
         for upto, part in zip((0.5, 0.25), parts[weights]):
             if own:

@@ -71,14 +71,53 @@ def test_a_run_after_a_short_start_is_not_cut():
     assert any(run.encode() in p for *_, p in pieces) and all(kind != "none" for *_, kind, _ in pieces)
 
 
-def test_an_edit_alters_only_pieces_nearby():
-    text = prose(random.Random(4), 60, 6, 8)
-    at = text.index("\n\n", len(text) // 3)
-    edited = text[:at] + "\n\nan added block of words" + text[at:]
-    (_, before), = cut([text], 200, 16)
-    (_, after), = cut([edited], 200, 16)
-    common = len({p[3] for p in before} & {p[3] for p in after})
-    assert common >= 0.6 * len(before)
+def test_edits_alter_only_pieces_nearby():
+    """At the sizes of production, over many edits of a long text: how many pieces an edit alters."""
+    draw = random.Random(4)
+    text = prose(draw, 500, 6, 8)
+    (_, before), = cut([text], splitting.LIMIT, splitting.OVERLAP)
+    known, altered = {p[3] for p in before}, []
+    assert len(before) > 80
+    for _ in range(25):
+        at = text.index(" ", draw.randrange(len(text) * 9 // 10))
+        edited = text[:at] + draw.choice([" an added word", "\n\nan added block of words", ""]) + text[at + draw.randrange(40) :]
+        (_, after), = cut([edited], splitting.LIMIT, splitting.OVERLAP)
+        altered.append(sum(p[3] not in known for p in after))
+    altered.sort()
+    print("pieces altered by an edit, of", len(before), ":", altered)
+    assert altered[len(altered) // 2] <= 6 and sum(altered) / len(altered) <= 10
+
+
+def test_pieces_that_do_not_join_raise():
+    good = [(0, 50, "line", b""), (42, 90, "end", b"")]
+    splitting._must_join(good, 90, LIMIT, OVERLAP)
+    for bad in ([(0, 50, "line", b""), (43, 90, "end", b"")], [(0, 50, "line", b""), (42, 80, "end", b"")], [(0, 90, "end", b"")], [(1, 50, "line", b""), (42, 90, "end", b"")]):
+        with pytest.raises(AssertionError):
+            splitting._must_join(bad, 90, LIMIT, OVERLAP)
+
+
+def test_checks_find_what_is_wrong(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(9)
+    rows = [(i, prose(draw, 12, 3, 4), "x") for i in range(6)] + [(20, None, "x"), (21, "", "x"), (22, "short", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
+    right = splitting.checked(df, limit=LIMIT, overlap=OVERLAP).first()
+    assert right.documents == 8 and sum(right) == 8
+    plain = splitting.pieces
+    second = F.col("piece") == 1
+    changes = {
+        "not_joined": lambda p: p.withColumn("first_token", F.col("first_token") + F.when(second, 1).otherwise(0)),
+        "not_whole": lambda p: p.where(~second),
+        "not_of_text": lambda p: p.withColumn("text", F.when(second, F.concat(F.lit("#"), "text")).otherwise(F.col("text"))),
+        "over_limit": lambda p: p.withColumn("n_tokens", F.when(second, 999).otherwise(F.col("n_tokens"))),
+        "over_limit_alone": lambda p: p.withColumn("text", F.when(second, F.repeat("text", 5)).otherwise(F.col("text"))),
+        "wrong_cut": lambda p: p.withColumn("cut", F.when(second, "line").otherwise(F.col("cut"))),
+        "wrong_boundary": lambda p: p.withColumn("boundary", F.lit(None).cast("string")),
+    }
+    for name, change in changes.items():
+        monkeypatch.setattr(splitting, "pieces", lambda *a, _c=change: _c(plain(*a)))
+        assert splitting.checked(df, limit=LIMIT, overlap=OVERLAP).first()[name] > 0, name
 
 
 def test_landmarks_follow_content():
