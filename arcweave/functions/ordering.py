@@ -64,12 +64,41 @@ def with_running(df: DataFrame, order: Sequence[str], index: str | None = None,
     return joined.select(*df.columns, *added)
 
 
-def next_in_order(df: DataFrame, order: Sequence[str], bucket: Column, value: str, name: str) -> DataFrame:
-    """Add the value of the next row of the whole order. The bucket must rise with the order (a day, say): windows run
-    within buckets, and one row per bucket carries the first value of the next bucket back."""
-    rows = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    rows = rows.withColumn("_next", F.lead(value).over(inside)).withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
-    firsts = rows.groupBy("_bucket").agg(F.min_by(value, F.struct(*order)).alias("_first"))
-    following = firsts.select("_bucket", F.lead("_first").over(Window.orderBy("_bucket")).alias("_following"))  # one row per bucket
-    return rows.join(following, "_bucket").withColumn(name, F.when(F.col("_last"), F.col("_following")).otherwise(F.col("_next"))).drop("_bucket", "_next", "_last", "_following")
+def places(df: DataFrame, name: str) -> DataFrame:
+    """Add the 0-based place of each row in the result, for a DataFrame that orderBy() has sorted."""
+    placed = cut(df.withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_b"))
+    return placed.join(F.broadcast(before), part == F.col("_part")).select(*df.columns, (F.col("_b") + row).alias(name))
+
+
+def _shifted(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.RecordBatch]:
+    """Replace the columns `at` by their values one row before in the partition; null in its first row."""
+    last: list = [None] * len(at)
+    for batch in batches:
+        columns = list(batch.columns)
+        for k, i in enumerate(at):
+            if batch.num_rows:
+                columns[i] = pa.concat_arrays([pa.array([last[k]], batch.column(i).type), batch.column(i).slice(0, batch.num_rows - 1)])
+                last[k] = batch.column(i)[batch.num_rows - 1].as_py()
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def with_previous(df: DataFrame, order: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """Add, for each (name, column), the column's value in the row before in the whole order; null in the first row.
+
+    order: as in with_running(). Rows are compared within sorted partitions as these are written; only the last row of
+    each partition, one per partition, is carried over to the next.
+    """
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    given = [F.col(f"`{c}`") for c in names.values()]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", *(c.alias(f"_v{i}") for i, c in enumerate(given)), *(c.alias(f"_w{i}") for i, c in enumerate(given)), F.monotonically_increasing_id().alias("_at"))
+    ship(df.sparkSession)
+    at = list(range(len(df.columns) + len(given), len(df.columns) + 2 * len(given)))
+    placed = cut(placed.mapInArrow(lambda it: _shifted(it, at), T.StructType(placed.schema.fields)))
+    part, row = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    lasts = placed.groupBy(part.alias("_part")).agg(F.max_by(F.struct(*(f"_v{i}" for i in range(len(given)))), "_at").alias("_last"))
+    before = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"))  # one row per partition
+    joined = placed.join(F.broadcast(before), part == F.col("_part"))
+    return joined.select(*df.columns, *(F.when(row == 0, F.col(f"_before._v{i}")).otherwise(F.col(f"_w{i}")).alias(name) for i, name in enumerate(names)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_previous, with_running
 from ..graph import Graph
+from ..plans.iterate import scoped
 from .structure import degree
 
 ORDERS = ("ascending", "descending", "none")
@@ -22,6 +24,20 @@ def is_symmetric(graph: Graph) -> bool:
     return pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").isEmpty()
 
 
+DIRECTIONS = {
+    (True, False): "directed", (True, True): "labelled directed, with every edge in both directions",
+    (False, True): "undirected", (False, False): "invalid: labelled undirected, without the reverse of every edge",
+}
+
+
+def direction(graph: Graph) -> DataFrame:
+    """One row (labelled_directed, is_symmetric, direction): what the label says, what the edges say, and one of the four
+    outcomes of comparing them."""
+    symmetric = is_symmetric(graph)
+    return graph.spark.range(1).select(F.lit(graph.directed).alias("labelled_directed"), F.lit(symmetric).alias("is_symmetric"), F.lit(DIRECTIONS[graph.directed, symmetric]).alias("direction"))
+
+
+@scoped
 def summary(graph: Graph) -> DataFrame:
     """One row (vertex_count, edge_count, self_loops, dangling_edges, max_degree, is_symmetric); dangling edges have an
     end that is no vertex."""
@@ -36,20 +52,19 @@ def summary(graph: Graph) -> DataFrame:
     return graph.spark.range(1).select(*numbers, F.lit(is_symmetric(graph)).alias("is_symmetric"))
 
 
+@scoped
 def neighbour_order(positioned: DataFrame) -> DataFrame:
     """One row (neighbour_order) of edges(src, dst, pos): whether each vertex's neighbours ascend or descend along pos."""
-    before = F.lag("dst").over(Window.partitionBy("src").orderBy("pos"))
-    steps = positioned.withColumn("_b", before).agg(F.max(F.col("dst") > F.col("_b")).alias("rises"), F.max(F.col("dst") < F.col("_b")).alias("falls"))
+    rows = with_previous(positioned.select("src", "dst", "pos"), ["src", "pos", "dst"], {"_src": "src", "_dst": "dst"}).where("src = _src")
+    steps = rows.agg(F.max(F.col("dst") > F.col("_dst")).alias("rises"), F.max(F.col("dst") < F.col("_dst")).alias("falls"))
     return steps.select(_order("rises", "falls").alias("neighbour_order"))
 
 
+@scoped
 def degree_order(graph: Graph) -> DataFrame:
     """One row (degree_order): whether out-degrees ascend or descend with the ids."""
-    from ..functions.ordering import with_running
-
-    numbered = with_running(degree(graph), ["id"], index="n")
-    following = numbered.select((F.col("n") - 1).alias("n"), F.col("degree").alias("next"))
-    steps = numbered.join(following, "n").agg(F.max(F.col("next") > F.col("degree")).alias("rises"), F.max(F.col("next") < F.col("degree")).alias("falls"))
+    rows = with_previous(degree(graph), ["id"], {"_before": "degree"})
+    steps = rows.agg(F.max(F.col("degree") > F.col("_before")).alias("rises"), F.max(F.col("degree") < F.col("_before")).alias("falls"))
     return steps.select(_order("rises", "falls").alias("degree_order"))
 
 
@@ -97,12 +112,19 @@ def run_summary(runs: DataFrame, keys: list[str], measures: list[str]) -> DataFr
     return stats.select(*keys, "measure", "n", "mean", (t * F.col("_s") / F.sqrt("n")).alias("ci95"))
 
 
+@scoped
 def rate_statistics(runs: DataFrame, time: str, edges: str) -> DataFrame:
     """One row of a traversal benchmark: minimum, quartiles, maximum, mean and deviation of time, and the harmonic mean
-    of the rates. Rows without a positive finite time don't count."""
+    of the rates. Rows without a positive finite time don't count. Quartiles are exact, by the times' places in order."""
     good = runs.where(F.col(time) > 0).where(F.col(time) < float("inf")).select(F.col(time).cast("double").alias("t"), F.col(edges).cast("double").alias("e"))
-    q = lambda p: F.percentile("t", F.lit(p)).alias(f"time_p{int(100 * p)}")
-    return good.agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("time_min"), q(0.25), q(0.5), q(0.75), F.max("t").alias("time_max"),
+    placed = with_running(good, ["t", "e"], index="i")
+    n = placed.count()
+    columns = []
+    for quarter in (1, 2, 3):
+        at = quarter * (n - 1)  # in quarters of a row
+        a, b = (F.max(F.when(F.col("i") == i, F.col("t"))) for i in (at // 4, -(-at // 4)))
+        columns.append((a + (b - a) * F.lit(at % 4 / 4)).alias(f"time_p{25 * quarter}"))
+    return placed.agg(
+        F.count(F.lit(1)).alias("n"), F.min("t").alias("time_min"), *columns, F.max("t").alias("time_max"),
         F.avg("t").alias("time_mean"), F.stddev_samp("t").alias("time_sd"),
         (F.count(F.when(F.col("e") > 0, 1)) / F.sum(F.when(F.col("e") > 0, F.col("t") / F.col("e")))).alias("rate_harmonic_mean"))

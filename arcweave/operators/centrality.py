@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..graph import Graph
 from ..plans.adjacency import Adjacency, Trail
-from ..plans.iterate import cut
+from ..plans.iterate import Table, cut, scoped
 
 EXACT, SINGLE = 0.0, -1.0
 SEED = 1985
@@ -30,12 +31,13 @@ def sample_count(vertices: int, epsilon: float) -> int:
     return int(max(0, vertices.bit_length() - 1) / (epsilon * epsilon))
 
 
+@scoped
 def samples(graph: Graph, epsilon: float, seed: int = SEED) -> DataFrame:
-    """(id): sources for an approximation, the first by hash of those with out-edges; all vertices for epsilon 0."""
+    """(id): sources for an approximation, the first in pseudo-random order of those with out-edges; all vertices for epsilon 0."""
     if epsilon == EXACT:
         return graph.vertices.select("id")
     sources = graph.vertices.select("id").join(graph.edges.select(F.col("src").alias("id")), "id", "left_semi")
-    return sources.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_count(graph.vertex_count(), epsilon))
+    return sources.orderBy(spread(seed, "id"), "id").limit(sample_count(graph.vertex_count(), epsilon))
 
 
 def _edges(graph: Graph) -> DataFrame:
@@ -92,6 +94,7 @@ def _batched(graph: Graph, sources: DataFrame, batch: int | None, stress: bool)
     return whole.groupBy("id").agg(F.sum("score").alias("score"))
 
 
+@scoped
 def betweenness(graph: Graph, epsilon: float = EXACT, sources: DataFrame | None = None, batch: int | None = None) -> DataFrame:
     """(id, score): over the sources, the shares of shortest paths that pass through the vertex. With epsilon other than
     0, scores are scaled up from the sampled sources, except for a single one. sources(id) overrides the sample."""
@@ -104,6 +107,7 @@ def betweenness(graph: Graph, epsilon: float = EXACT, sources: DataFrame | None
     return graph.vertices.select("id").join(found, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * scale).alias("score"))
 
 
+@scoped
 def stress(graph: Graph, sources: DataFrame | None = None, batch: int | None = None) -> DataFrame:
     """(id, score): the number of shortest paths, from all sources, that pass through the vertex."""
     graph.require()
@@ -111,13 +115,19 @@ def stress(graph: Graph, sources: DataFrame | None = None, batch: int | None = N
     return graph.vertices.select("id").join(found, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0))).cast("long").alias("score"))
 
 
-def closeness(graph: Graph) -> DataFrame:
+@scoped
+def closeness(graph: Graph, batch: int | None = None) -> DataFrame:
     """(id, score): with c vertices reached, itself included, and their distances' sum S, (c - 1) ** 2 / ((V - 1) * S); 0 if S is 0."""
     graph.require()
-    n = graph.vertex_count()
+    sources = Table(graph.vertices.select("id"))
+    n, parts = sources.rows, -(-sources.rows // batch) if batch else 1
+    whole: DataFrame | None = None
     with Adjacency(_edges(graph), "src") as out:
-        trail = _forward(out, graph.vertices.select("id"))
-    own = trail.all().groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("c"), F.sum("cost").alias("s"))
+        for i in range(parts):
+            trail = _forward(out, sources.df.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i))
+            own = cut(trail.all().groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("c"), F.sum("cost").alias("s")))
+            for table in trail.tables:
+                table.drop()
+            whole = own if whole is None else whole.unionByName(own)
     score = F.when(F.col("s") > 0, (F.col("c") - 1) * (F.col("c") - 1) / (F.lit(float(n - 1)) * F.col("s"))).otherwise(0.0)
-    return graph.vertices.select("id").join(own, "id").select("id", score.alias("score"))
-
+    return graph.vertices.select("id").join(whole, "id").select("id", score.alias("score"))

@@ -1,8 +1,15 @@
 """Maximum flow.
 
-A network of up to `local_edges` edges, a checked size, is solved in one task: augmenting along levels of shortest
-paths.  A larger one is solved by rounds of push and relabel over DataFrames: all vertices with excess push at once,
-then those that could not are raised.  Both give the one exact value.
+What leaves the source is sent towards the sink in phases.  A phase finds the exact distance of every vertex to the sink
+over arcs that have room, by a traversal backwards, and then lets a wave run down these distances: from the furthest
+level to the nearest, every vertex passes on what has come to it, along its arcs to the next level, until these are full.
+What a vertex cannot pass on stays for the next phase, in which the vertex is further from the sink.  A vertex that has
+lost every way to the sink never gets one back, so what it holds is given up; when nothing else is left, what has come to
+the sink is the maximum flow.
+
+A wave uses an arc once, so the arcs are rewritten once a phase, and a level moves only what is on it.  An arc's share of
+a vertex's excess follows from the running sum of room in front of it, which is taken over ranges of all arcs; so neither
+a level nor a vertex with very many arcs is gathered in one task.
 
 Defined results: repeated edges add up; self loops and edges with an end that is no vertex carry nothing; edges in both
 directions are allowed; null or negative capacities count as 0.
@@ -10,141 +17,86 @@ directions are allowed; null or negative capacities count as 0.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import lookup_join
+from ..functions.ordering import with_running
 from ..graph import Graph
-from ..plans.iterate import Table, cut
-from ..plans.shipping import ship
-
-LOCAL_EDGES = 2_000_000
-
+from ..plans.adjacency import Adjacency
+from ..plans.iterate import Table, cut, scoped
+from ..plans.ledger import Ledger
 
-class _Network:
-    """Arcs in pairs: arc i ^ 1 is the reverse of arc i."""
 
-    def __init__(self) -> None:
-        self.out: dict[int, list[int]] = defaultdict(list)
-        self.to: list[int] = []
-        self.room: list[int] = []
-
-    def add(self, a: int, b: int, capacity: int) -> None:
-        for u, v, c in ((a, b, capacity), (b, a, 0)):
-            self.out[u].append(len(self.to))
-            self.to.append(v)
-            self.room.append(c)
+def _arcs(graph: Graph) -> DataFrame:
+    """(src, dst, room) of arcs with room."""
+    ids = graph.vertices.select("id")
+    edges = graph.edges.where("src <> dst and weight > 0")
+    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.groupBy("src", "dst").agg(F.sum("weight").alias("room"))
 
-    def flow(self, source: int, sink: int) -> int:
-        total = 0
-        while True:
-            depth, queue = {source: 0}, deque([source])
-            while queue and sink not in depth:
-                u = queue.popleft()
-                for i in self.out[u]:
-                    if self.room[i] and self.to[i] not in depth:
-                        depth[self.to[i]] = depth[u] + 1
-                        queue.append(self.to[i])
-            if sink not in depth:
-                return total
-            total += self._block(source, sink, depth)
 
-    def _block(self, source: int, sink: int, depth: dict[int, int]) -> int:
-        """Saturate all shortest paths; a vertex's arcs are looked at once."""
-        total, at, path = 0, defaultdict(int), []
-        u = source
-        while True:
-            if u == sink:
-                least = min(self.room[i] for i in path)
-                total += least
-                for k in range(len(path) - 1, -1, -1):
-                    self.room[path[k]] -= least
-                    self.room[path[k] ^ 1] += least
-                cut_at = next(k for k, i in enumerate(path) if not self.room[i])
-                u = self.to[path[cut_at] ^ 1]
-                del path[cut_at:]
-                continue
-            arcs = self.out[u]
-            while at[u] < len(arcs):
-                i = arcs[at[u]]
-                if self.room[i] and depth.get(self.to[i], -1) == depth[u] + 1:
-                    break
-                at[u] += 1
-            if at[u] < len(arcs):
-                path.append(arcs[at[u]])
-                u = self.to[arcs[at[u]]]
-            elif path:
-                u = self.to[path.pop() ^ 1]
-                at[u] += 1
-            else:
-                return total
+def _distances(arcs: Table, sink: int) -> DataFrame:
+    """(id, level): arcs with room to the sink, for the vertices that have a way there."""
+    spark = arcs.df.sparkSession
+    with Adjacency(arcs.df.select("src", "dst"), "dst", arcs.rows) as back, Ledger(spark.range(sink, sink + 1).select("id", F.lit(0).alias("level")), ["id"], ["level"], "once") as known:
+        newest, level = known.base, 0
+        while newest.rows:
+            level += 1
+            found = back.join(newest.df.select("id")).select(F.col("src").alias("id")).distinct()
+            newest = known.add(known.beside(found).where("known is null").select("id", F.lit(level).alias("level")))
+        return known.all()
 
 
-def _capacities(graph: Graph) -> DataFrame:
-    ids = graph.vertices.select("id")
-    edges = graph.edges.where("src <> dst and weight > 0")
-    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("capacity")))
+def _downhill(arcs: Table, level: DataFrame, highest: int) -> DataFrame:
+    """(src, dst, room, before) of arcs to the next level, from levels up to the highest; before: the room of the arcs of
+    the same vertex that come first."""
+    a, b = level.select(F.col("id").alias("src"), F.col("level").alias("_a")), level.select(F.col("id").alias("dst"), F.col("level").alias("_b"))
+    down = lookup_join(lookup_join(arcs.df, "src", a, total=arcs.rows), "dst", b, total=arcs.rows).where(f"_a = _b + 1 and _a <= {highest}")
+    summed = cut(with_running(down.select("src", "dst", "room"), ["src", "dst"], sums={"upto": "room"}))
+    first = summed.groupBy("src").agg(F.min("upto").alias("_first"))
+    return lookup_join(summed, "src", first, total=arcs.rows).select("src", "dst", "room", (F.col("upto") - F.col("_first")).alias("before"))
 
 
-def maxflow(graph: Graph, source: int, sink: int, local_edges: int = LOCAL_EDGES) -> DataFrame:
+@scoped
+def maxflow(graph: Graph, source: int, sink: int) -> DataFrame:
     """One row (source, sink, flow). The graph must be weighted and directed."""
     if not graph.weighted or not graph.directed:
         raise ValueError("flow needs a weighted, directed graph")
     if source == sink:
         raise ValueError("source and sink are the same")
     graph.require(source, sink)
-    edges = _capacities(graph)
-    if edges.count() > local_edges:
-        return _pushed(graph, edges, source, sink)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        network = _Network()
-        for batch in batches:
-            for a, b, c in batch.itertuples(index=False):
-                network.add(a, b, c)
-        yield pd.DataFrame({"source": [source], "sink": [sink], "flow": [network.flow(source, sink)]})
-
-    ship(graph.spark)
-    return edges.coalesce(1).mapInPandas(solve, "source long, sink long, flow long")
-
-
-def _pushed(graph: Graph, edges: DataFrame, source: int, sink: int) -> DataFrame:
-    """Rounds of push and relabel. Heights start at the distance to the sink; a vertex that rises to V or more can't reach
-    the sink any more, and its excess no longer matters."""
-    n = graph.vertex_count()
-    both = edges.select("src", "dst", F.col("capacity").alias("room")).union(edges.select("dst", "src", F.lit(0).cast("long")))
-    room = both.groupBy("src", "dst").agg(F.sum("room").alias("room"))
-    # The first push saturates the source's edges.
-    first = cut(room.where(F.col("src") == source).select(F.col("dst").alias("id"), F.col("room").alias("excess")))
-    back = first.select(F.col("id").alias("src"), F.lit(source).cast("long").alias("dst"), F.col("excess").alias("more"))
-    room = room.join(back, ["src", "dst"], "left").select("src", "dst", F.when(F.col("src") == source, F.lit(0).cast("long")).otherwise(F.col("room") + F.coalesce("more", F.lit(0))).alias("room"))
-    arcs = Table(room)
-    from .traversal import bfs
-
-    down = bfs(Graph(graph.vertices, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), sink, unreachable=n)
-    heights = down.select("id", F.when(F.col("id") == source, n).otherwise(F.least("cost", F.lit(n))).cast("long").alias("height"))
-    state = Table(heights.join(first, "id", "left").select("id", "height", F.when(F.col("id") == source, 0).otherwise(F.coalesce("excess", F.lit(0))).cast("long").alias("excess")))
-    live = (F.col("excess") > 0) & (F.col("height") < n) & (F.col("id") != sink)
-    while not state.df.where(live).isEmpty():
-        active = state.df.where(live).select(F.col("id").alias("src"), F.col("height").alias("h"), "excess")
-        ends = state.df.select(F.col("id").alias("dst"), F.col("height").alias("h2"))
-        open_ = arcs.df.where("room > 0").join(active, "src").join(ends, "dst").where("h = h2 + 1")
-        before = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
-        left = F.col("excess") - F.coalesce(F.sum("room").over(before), F.lit(0))
-        pushes = cut(open_.select("src", "dst", F.least("room", F.greatest(F.lit(0), left)).alias("push")).where("push > 0"))
-        moved = pushes.select("src", "dst", (-F.col("push")).alias("change")).union(pushes.select("dst", "src", "push")).groupBy("src", "dst").agg(F.sum("change").alias("change"))
-        new_arcs = Table(arcs.df.join(moved, ["src", "dst"], "left").select("src", "dst", (F.col("room") + F.coalesce("change", F.lit(0))).alias("room")))
-        flows = pushes.select(F.col("src").alias("id"), (-F.col("push")).alias("gain")).union(pushes.select("dst", "push")).groupBy("id").agg(F.sum("gain").alias("gain"))
-        pushed = cut(state.df.join(flows, "id", "left").select("id", "height", (F.col("excess") + F.coalesce("gain", F.lit(0))).alias("excess")))
-        ends = pushed.select(F.col("id").alias("dst"), F.col("height").alias("h2"))
-        stuck = new_arcs.df.where("room > 0").join(pushed.where(live).select(F.col("id").alias("src"), F.col("height").alias("h")), "src").join(ends, "dst")
-        raised = stuck.groupBy("src", "h").agg(F.min("h2").alias("least")).where("least >= h").select(F.col("src").alias("id"), (F.col("least") + 1).alias("higher"))
-        new_state = Table(pushed.join(raised, "id", "left").select("id", F.least(F.coalesce("higher", "height"), F.lit(n)).cast("long").alias("height"), "excess"))
+    given = cut(_arcs(graph))
+    # The source's arcs are filled at once. What comes back to the source, or leaves the sink, does not matter.
+    inner = lambda df: df.where((F.col("src") != source) & (F.col("dst") != source) & (F.col("src") != sink))
+    excess = Table(given.where(F.col("src") == source).select(F.col("dst").alias("id"), F.col("room").alias("excess")))
+    arcs = Table(inner(given))
+    while True:
+        level = cut(_distances(arcs, sink))
+        active = Table(excess.df.where(F.col("id") != sink).join(level, "id"))
+        if not active.rows:
+            break
+        highest = active.df.agg(F.max("level")).first()[0]
+        pushes: list[DataFrame] = []
+        with Adjacency(cut(_downhill(arcs, level, highest)), "src", arcs.rows) as down:
+            arrived: DataFrame | None = None
+            for at in range(highest, 0, -1):
+                here = active.df.where(F.col("level") == at).select("id", "excess")
+                if arrived is not None:
+                    here = here.unionByName(arrived).groupBy("id").agg(F.sum("excess").alias("excess"))
+                push = F.least(F.col("room"), F.col("excess") - F.col("before"))
+                pushed = cut(down.join(here).select(F.col("id").alias("src"), "dst", push.alias("push")).where("push > 0"))
+                pushes.append(pushed)
+                arrived = pushed.groupBy(F.col("dst").alias("id")).agg(F.sum("push").alias("excess"))
+        moved = pushes[0]
+        for pushed in pushes[1:]:
+            moved = moved.unionByName(pushed)
+        held = active.df.select("id", "excess").unionByName(excess.df.where(F.col("id") == sink))
+        change = moved.select(F.col("src").alias("id"), (-F.col("push")).alias("excess")).unionByName(moved.select(F.col("dst").alias("id"), F.col("push").alias("excess")))
+        excess = Table(held.unionByName(change).groupBy("id").agg(F.sum("excess").alias("excess")).where("excess > 0"))
+        change = moved.select("src", "dst", (-F.col("push")).alias("room")).unionByName(inner(moved.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("push").alias("room"))))
+        following = Table(arcs.df.unionByName(change).groupBy("src", "dst").agg(F.sum("room").alias("room")).where("room > 0"))
         arcs.drop()
-        state.drop()
-        arcs, state = new_arcs, new_state
-    return state.df.where(F.col("id") == sink).select(F.lit(source).cast("long").alias("source"), F.col("id").alias("sink"), F.col("excess").alias("flow"))
+        arcs = following
+    flow = excess.df.where(F.col("id") == sink).agg(F.coalesce(F.sum("excess"), F.lit(0)).alias("flow"))
+    return flow.select(F.lit(source).cast("long").alias("source"), F.lit(sink).cast("long").alias("sink"), "flow")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.adjacency import Adjacency
-from ..plans.iterate import Table
+from ..plans.iterate import Table, scoped
 
 ROUNDS = 5
 DAMPING = 0.85
@@ -56,16 +56,19 @@ def _ranks(graph: Graph, by: str, rounds: int, damping: float, first_normalized:
     return table.df.select("id", "rank")
 
 
+@scoped
 def pagerank(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING, first_normalized: bool = False, start: DataFrame | None = None) -> DataFrame:
     """(id, rank), pushing along edges. start: (id, rank) to begin with, 0 for ids it lacks; by default 1/V each."""
     return _ranks(graph, "src", rounds, damping, first_normalized, start, False)
 
 
+@scoped
 def pagerank_hybrid(graph: Graph, damping: float = DAMPING) -> DataFrame:
     """The variant with one round less, in which vertices without out-edges keep their first rank."""
     return _ranks(graph, "src", ROUNDS - 1, damping, False, None, True)
 
 
+@scoped
 def pagerank_incoming(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING, start: DataFrame | None = None) -> DataFrame:
     """Pulling: a vertex adds up the ranks of the ends of its own edges, as if these were stored reversed. The degree is
     that of the vertex that is pulled from; one without edges of its own brings nothing after the first round."""

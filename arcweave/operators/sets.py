@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookup import lookup_join
+from ..plans.iterate import scoped
 
 
 def members(df: DataFrame) -> DataFrame:
@@ -31,6 +32,7 @@ def size(df: DataFrame) -> DataFrame:
     return members(df).agg(F.count(F.lit(1)).alias("size"))
 
 
+@scoped
 def get(keys: DataFrame, table: DataFrame, missing: int = -1) -> DataFrame:
     """(id, value) for every row of keys(id) from table(id, value) with unique ids; `missing` where there is none."""
     found = lookup_join(keys.select("id"), "id", table.select("id", "value"), "left")

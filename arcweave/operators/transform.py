@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lookup import lookup_join
 from ..functions.ordering import with_running
+from ..functions.spread import spread
 from ..graph import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import Table, cut, scoped
 
 SEED = 1985
+#: Edges in one list.
+LIST_ROWS = 1_000_000
 
 
 def renumbered(graph: Graph, numbers: DataFrame) -> Graph:
@@ -29,6 +32,7 @@ def renumbered(graph: Graph, numbers: DataFrame) -> Graph:
     return replace(graph, vertices=vertices, edges=edges)
 
 
+@scoped
 def induced_subgraph(graph: Graph, keep: DataFrame, renumber: bool = True) -> Graph:
     """The vertices in keep(id) and the edges between them, renumbered in order of id."""
     kept = graph.vertices.join(keep.select("id").distinct(), "id", "left_semi").select("id")
@@ -37,6 +41,7 @@ def induced_subgraph(graph: Graph, keep: DataFrame, renumber: bool = True) -> Gr
     return renumbered(graph, kept.select("id", F.col("id").alias("new")))
 
 
+@scoped
 def remove_singletons(graph: Graph, renumber: bool = True) -> Graph:
     """Without the vertices that no edge leaves or enters; a self loop is an edge."""
     touched = graph.edges.select(F.explode(F.array("src", "dst")).alias("id"))
@@ -75,12 +80,14 @@ def residual(graph: Graph) -> DataFrame:
     return edges.union(edges.select("dst", "src", F.lit(0).cast("long"), F.lit(False)))
 
 
+@scoped
 def permuted(graph: Graph, seed: int = SEED) -> Graph:
     """Renumbered in pseudo-random order."""
-    numbers = with_running(graph.vertices.select("id", F.xxhash64("id", F.lit(seed)).alias("_h")), ["_h", "id"], index="new")
+    numbers = with_running(graph.vertices.select("id", spread(seed, "id").alias("_h")), ["_h", "id"], index="new")
     return renumbered(graph, numbers.select("id", "new"))
 
 
+@scoped
 def degree_order(graph: Graph) -> DataFrame:
     """(id, new): numbers from 0 in order of out-degree and, of equal ones, of id."""
     from .structure import degree
@@ -88,6 +95,7 @@ def degree_order(graph: Graph) -> DataFrame:
     return with_running(degree(graph), ["degree", "id"], index="new").select("id", "new")
 
 
+@scoped
 def sorted_by_degree(graph: Graph) -> Graph:
     return renumbered(graph, cut(degree_order(graph)))
 
@@ -97,20 +105,43 @@ def random_weights(graph: Graph, seed: int = SEED) -> Graph:
     if graph.weighted:
         raise ValueError("the graph has weights")
     n = graph.vertex_count()
-    return replace(graph, edges=graph.edges.withColumn("weight", F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(max(n, 1)))), weighted=True)
+    return replace(graph, edges=graph.edges.withColumn("weight", F.pmod(spread(seed, "src", "dst"), F.lit(max(n, 1)))), weighted=True)
 
 
-def adjacency(graph: Graph, descending: bool = False) -> DataFrame:
-    """(id, neighbours[, weights]) in order of neighbour; weights stay with their neighbours. A list is one value: for
-    vertices with more edges than fit a row, use the edges themselves."""
+def _lists(rows: DataFrame, order: list[str], descending: bool, most: int) -> DataFrame:
+    """(id, chunk, _l) of rows(src, ...): for each src, lists of at most `most` structs of the order's columns, in that order.
+
+    Vertices with more rows than that are found by a count; of these alone, the places along the order are taken over
+    ranges of all rows, so that no task gets all edges of one.
+    """
+    item = F.struct(*order)
+    short = lambda df: df.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(item), not descending).alias("_l")).select("id", F.lit(0).alias("chunk"), "_l")
+    hubs = Table(rows.groupBy("src").count().where(F.col("count") > most).select("src"))
+    if not hubs.rows:
+        return short(rows)
+    many = with_running(rows.join(F.broadcast(hubs.df), "src", "left_semi"), ["src", *(f"-{c}" if descending else c for c in order)], index="_i")  # fewer hubs than rows / most
+    many = cut(many)
+    first = many.groupBy("src").agg(F.min("_i").alias("_first"))
+    chunk = F.floor((F.col("_i") - F.col("_first")) / most).cast("int").alias("chunk")
+    long = many.join(F.broadcast(first), "src").groupBy(F.col("src").alias("id"), chunk).agg(F.sort_array(F.collect_list(item), not descending).alias("_l"))
+    return short(rows.join(F.broadcast(hubs.df), "src", "left_anti")).unionByName(long)
+
+
+def _with_empty(graph: Graph, lists: DataFrame) -> DataFrame:
+    joined = graph.vertices.select("id").join(lists, "id", "left")
+    empty = [F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists.columns[2:]]
+    return joined.select("id", F.coalesce("chunk", F.lit(0)).alias("chunk"), *empty)
+
+
+@scoped
+def adjacency(graph: Graph, descending: bool = False, most: int = LIST_ROWS) -> DataFrame:
+    """(id, chunk, neighbours[, weights]) in order of neighbour; weights stay with their neighbours. A vertex has one row,
+    chunk 0, or, with more than `most` edges, several, numbered along the order."""
     if graph.weighted:
-        rows = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("dst", "weight")), not descending).alias("_l"))
-        lists = rows.select("id", F.col("_l.dst").alias("neighbours"), F.col("_l.weight").alias("weights"))
+        lists = _lists(graph.edges, ["dst", "weight"], descending, most).select("id", "chunk", F.col("_l.dst").alias("neighbours"), F.col("_l.weight").alias("weights"))
     else:
-        lists = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst"), not descending).alias("neighbours"))
-    joined = graph.vertices.select("id").join(lists, "id", "left")
-    empty = [F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists.columns[1:]]
-    return joined.select("id", *empty)
+        lists = _lists(graph.edges, ["dst"], descending, most).select("id", "chunk", F.col("_l.dst").alias("neighbours"))
+    return _with_empty(graph, lists)
 
 
 def explode_adjacency(lists: DataFrame) -> DataFrame:
@@ -121,13 +152,13 @@ def explode_adjacency(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst"))
 
 
-def degree_sorted_adjacency(graph: Graph, descending: bool = False) -> DataFrame:
-    """(id, neighbours) in order of the neighbours' out-degree and, of equal ones, of id."""
+@scoped
+def degree_sorted_adjacency(graph: Graph, descending: bool = False, most: int = LIST_ROWS) -> DataFrame:
+    """(id, chunk, neighbours) in order of the neighbours' out-degree and, of equal ones, of id; chunks as in adjacency()."""
     from .structure import degree
 
-    edges = lookup_join(graph.edges, "dst", degree(graph).select(F.col("id").alias("dst"), "degree"))
-    lists = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct("degree", "dst")), not descending).alias("_l"))
-    return graph.vertices.select("id").join(lists, "id", "left").select("id", F.coalesce(F.col("_l.dst"), F.array().cast("array<bigint>")).alias("neighbours"))
+    edges = lookup_join(graph.edges.select("src", "dst"), "dst", degree(graph).select(F.col("id").alias("dst"), "degree"))
+    return _with_empty(graph, _lists(edges, ["degree", "dst"], descending, most).select("id", "chunk", F.col("_l.dst").alias("neighbours")))
 
 
 def radix_order(df: DataFrame, column: str, bits: int = 32, ascending: bool = True) -> DataFrame:

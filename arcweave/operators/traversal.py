@@ -1,7 +1,7 @@
 """Traversals: hop distances, parent trees, weighted distances, reachability.
 
-Each turn joins the newest level with the edges laid out by Adjacency. What is new is what no earlier level holds (an
-anti-join against the levels written so far), so a level is written once. When the level is small its table is
+Each turn joins the newest level with the edges laid out by Adjacency. What it reaches is looked up in a Ledger of what is
+known, and only what is new, or nearer, is written and sends in the next turn. When the level is small its table is
 broadcast, when it is large it is shuffled: the planner sees the size of the written table and decides.
 
 Defined results: unreached vertices have the sentinel, or null with unreachable=None; an edge to an id that is no vertex
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lookup import lookup_join
 from ..graph import UNREACHED, UNREACHED_HOPS, Graph
-from ..plans.adjacency import Adjacency, Trail
-from ..plans.iterate import Table, cut
+from ..plans.adjacency import Adjacency
+from ..plans.iterate import Table, cut, scoped
+from ..plans.ledger import Ledger
 
 PULL_SHARE = 0.05
 
@@ -34,38 +35,37 @@ def _vertices_only(graph: Graph) -> DataFrame:
     return graph.edges.join(ids, "dst", "left_semi")
 
 
-def levels(graph: Graph, sources: DataFrame, depth: int | None = None, stop_at: int | None = None, direction: str = "auto") -> Trail:
-    """The levels (id, cost, parent) of a breadth-first traversal from sources(id); parent is the least one.
+def levels(graph: Graph, sources: DataFrame, depth: int | None = None, stop_at: int | None = None, direction: str = "auto") -> DataFrame:
+    """(id, cost, parent) of a breadth-first traversal from sources(id); parent is the least one.
 
     direction: 'push' sends from the newest level; 'pull' lets vertices that are not reached yet look for a neighbour in
     it, over reversed edges; 'auto' pulls when the newest level holds more than PULL_SHARE of all vertices.
     """
     total = graph.vertex_count()
     edges, count = _vertices_only(graph), graph.edge_count()
-    trail = Trail(graph.spark)
-    new = trail.append(sources.select("id", F.lit(0).alias("cost"), F.col("id").alias("parent")))
     by_dst: Adjacency | None = None
-    with Adjacency(edges, "src", count) as by_src:
-        reached = new
-        while new and (depth is None or len(trail) <= depth) and reached < total:
-            cost = F.lit(len(trail))
-            frontier = trail.last().select("id")
-            if stop_at is not None and not frontier.where(F.col("id") == stop_at).isEmpty():
+    start = sources.select("id", F.lit(0).alias("cost"), F.col("id").alias("parent"))
+    with Adjacency(edges, "src", count) as by_src, Ledger(start, ["id"], ["cost", "parent"], "once") as known:
+        newest = known.base
+        reached, cost = newest.rows, 0
+        while newest.rows and (depth is None or cost < depth) and reached < total:
+            frontier = newest.df.select(F.col("id").alias("parent"))
+            if stop_at is not None and not frontier.where(F.col("parent") == stop_at).isEmpty():
                 break
-            known = trail.all().select("id")
-            if direction == "pull" or (direction == "auto" and new > PULL_SHARE * total):
+            if direction == "pull" or (direction == "auto" and newest.rows > PULL_SHARE * total):
                 by_dst = by_dst or Adjacency(edges, "dst", count)
-                open_ = graph.vertices.select("id").join(known, "id", "left_anti")
-                candidates = by_dst.join(open_).withColumnRenamed("src", "parent").join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
+                open_ = known.beside(graph.vertices.select("id")).where("known is null").select("id")
+                candidates = by_dst.join(open_).withColumnRenamed("src", "parent").join(frontier, "parent", "left_semi")
                 found = candidates.groupBy("id").agg(F.min("parent").alias("parent"))
             else:
-                sent = by_src.join(frontier.withColumnRenamed("id", "parent"), "parent").withColumnRenamed("dst", "id")
-                found = sent.groupBy("id").agg(F.min("parent").alias("parent")).join(known, "id", "left_anti")
-            new = trail.append(found.select("id", cost.alias("cost"), "parent"))
-            reached += new
-    if by_dst is not None:
-        by_dst.edges.unpersist()
-    return trail
+                sent = by_src.join(frontier, "parent").withColumnRenamed("dst", "id")
+                found = known.beside(sent.groupBy("id").agg(F.min("parent").alias("parent"))).where("known is null")
+            cost += 1
+            newest = known.add(found.select("id", F.lit(cost).alias("cost"), "parent"))
+            reached += newest.rows
+        if by_dst is not None:
+            by_dst.edges.unpersist()
+        return known.all()
 
 
 def _source(graph: Graph, source: int) -> DataFrame:
@@ -73,18 +73,21 @@ def _source(graph: Graph, source: int) -> DataFrame:
     return graph.spark.range(source, source + 1).select("id")
 
 
+@scoped
 def bfs(graph: Graph, source: int, unreachable: int | None = UNREACHED_HOPS, direction: str = "auto") -> DataFrame:
     """(id, cost): hops from the source along edges."""
-    trail = levels(graph, _source(graph, source), direction=direction)
-    return _finish(graph, trail.all().select("id", "cost"), "cost", unreachable, "int")
+    reached = levels(graph, _source(graph, source), direction=direction)
+    return _finish(graph, reached.select("id", "cost"), "cost", unreachable, "int")
 
 
+@scoped
 def bfs_tree(graph: Graph, source: int, unreachable: int | None = UNREACHED) -> DataFrame:
     """(id, parent): of the neighbours one hop nearer to the source, the least id; the source is its own parent."""
-    trail = levels(graph, _source(graph, source))
-    return _finish(graph, trail.all().select("id", "parent"), "parent", unreachable, "long")
+    reached = levels(graph, _source(graph, source))
+    return _finish(graph, reached.select("id", "parent"), "parent", unreachable, "long")
 
 
+@scoped
 def validate_tree(graph: Graph, tree: DataFrame, source: int, unreachable: int = UNREACHED) -> DataFrame:
     """One row of counts of what is wrong with a parent tree; all 0 for a valid one.
 
@@ -95,11 +98,10 @@ def validate_tree(graph: Graph, tree: DataFrame, source: int, unreachable: int =
     """
     tree = cut(tree.where(F.col("parent") != unreachable).select("id", "parent"))
     level = Table(tree.where(F.col("id") == source).select("id", F.lit(0).alias("level")))
-    trail, new = [level], level.df.count()
-    while new:
+    trail = [level]
+    while trail[-1].rows:
         below = tree.where(F.col("id") != F.col("parent")).join(trail[-1].df.select(F.col("id").alias("parent"), "level"), "parent").select("id", (F.col("level") + 1).alias("level"))
         trail.append(Table(below))
-        new = trail[-1].df.count()
     depth = graph.spark.read.schema(level.df.schema).parquet(*(t.path for t in trail))
     bad_root = tree.where((F.col("id") == source) & (F.col("parent") == source)).agg(F.when(F.count("*") == 0, 1).otherwise(0).alias("bad_root"))
     links = graph.edges.select("src", "dst").distinct()
@@ -117,11 +119,11 @@ def validate_tree(graph: Graph, tree: DataFrame, source: int, unreachable: int =
     return graph.spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in row.items()))
 
 
+@scoped
 def st_connectivity(graph: Graph, source: int, target: int) -> DataFrame:
     """One row (source, target, reachable, hops); hops is null if the target is not reached. Stops at its level."""
     graph.require(source, target)
-    trail = levels(graph, _source(graph, source), stop_at=target)
-    hit = trail.all().where(F.col("id") == target).select(F.col("cost").alias("hops"))
+    hit = levels(graph, _source(graph, source), stop_at=target).where(F.col("id") == target).select(F.col("cost").alias("hops"))
     one = graph.spark.range(1).select(F.lit(source).cast("long").alias("source"), F.lit(target).cast("long").alias("target"))
     joined = one.join(hit, how="left")
     return joined.select("source", "target", F.col("hops").isNotNull().alias("reachable"), F.col("hops").cast("int").alias("hops"))
@@ -130,27 +132,24 @@ def st_connectivity(graph: Graph, source: int, target: int) -> DataFrame:
 def relax(graph: Graph, start: DataFrame, keys: list[str]) -> DataFrame:
     """Least distances (keys..., id, distance) from start(keys..., id, distance), by label correction.
 
-    Only rows that improved in the last turn send. Messages and state are merged in one aggregation, so that a turn has
-    one shuffle of state and none of edges. The distances are exact for weights that are not negative.
+    Only rows that improved in the last turn send, and only rows that improve are written. The distances are exact for
+    weights that are not negative.
     """
     on = [*keys, "id"]
     edges = graph.with_weights().join(graph.vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
-    edges = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where("weight is not null"))
-    if not edges.where("weight < 0").isEmpty():
+    table = Table(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).where("weight is not null"))
+    if not table.df.where("weight < 0").isEmpty():
         raise ValueError("a weight is negative")
-    table = Table(start.select(*on, "distance", F.lit(True).alias("improved")))
-    with Adjacency(edges, "src") as out:
-        while not table.df.where("improved").isEmpty():
-            sent = out.join(table.df.where("improved").select(*on, "distance"))
-            sent = sent.select(*keys, F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("distance"), F.lit(None).cast("long").alias("old"))
-            both = table.df.select(*on, "distance", F.col("distance").alias("old")).union(sent)
-            merged = both.groupBy(*on).agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
-            new = Table(merged.select(*on, "distance", (F.col("old").isNull() | (F.col("distance") < F.col("old"))).alias("improved")))
-            table.drop()
-            table = new
-    return table.df.select(*on, "distance")
+    with Adjacency(table.df, "src", table.rows) as out, Ledger(start, on, ["distance"], "least") as known:
+        improved = known.base
+        while improved.rows:
+            sent = out.join(improved.df.select(*on, "distance"))
+            sent = sent.groupBy(*keys, F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))
+            improved = known.add(known.beside(sent).where("known is null or distance < known").select(*on, "distance"))
+        return known.all()
 
 
+@scoped
 def sssp(graph: Graph, source: int, unreachable: int | None = UNREACHED) -> DataFrame:
     """(id, distance): least sum of weights from the source. The graph must be weighted."""
     if not graph.weighted:
@@ -159,6 +158,7 @@ def sssp(graph: Graph, source: int, unreachable: int | None = UNREACHED) -> Data
     return _finish(graph, relax(graph, start, []), "distance", unreachable, "long")
 
 
+@scoped
 def apsp(graph: Graph) -> DataFrame:
     """(src, dst, distance) of all pairs with a path, each vertex with itself included; a pair without a row has none.
 

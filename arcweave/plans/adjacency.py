@@ -10,10 +10,10 @@ salt.  There can be at most four hubs per partition, so the table of hubs is sma
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import Table
 
 LEAST_HUB = 100_000
 
@@ -29,9 +29,9 @@ class Adjacency:
         most = max(least_hub, total // (4 * n))
         self.hubs: DataFrame | None = None
         if total > most:
-            hubs = cut(edges.groupBy(by).count().where(F.col("count") > most).select(F.col(by).alias("_hub"), F.ceil(F.col("count") / most).cast("int").alias("_salts")))
-            if not hubs.isEmpty():
-                self.hubs = hubs
+            hubs = Table(edges.groupBy(by).count().where(F.col("count") > most).select(F.col(by).alias("_hub"), F.ceil(F.col("count") / most).cast("int").alias("_salts")))
+            if hubs.rows:
+                self.hubs = hubs.df
         if self.hubs is None:
             placed = edges.repartition(n, by).sortWithinPartitions(by)
         else:
@@ -63,16 +63,15 @@ class Adjacency:
 class Trail:
     """Tables written one after the other and read together: the levels of a traversal."""
 
-    def __init__(self, spark) -> None:
-        from .iterate import Table
-
-        self._table, self.spark, self.tables = Table, spark, []
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark: SparkSession = spark
+        self.tables: list[Table] = []
 
     def append(self, df: DataFrame) -> int:
         """Write the next level; its number of rows."""
-        table = self._table(df)
+        table = Table(df)
         self.tables.append(table)
-        return table.df.count()
+        return table.rows
 
     def last(self) -> DataFrame:
         return self.tables[-1].df

@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import places
+from ..functions.spread import spread_sql
 from ..graph import UNREACHED, UNREACHED_HOPS, Graph
 from ..operators import analyze, centrality, components, flow, generate, partition, ranking, sets, structure, transform, traversal
+from ..sources import binary, store, text
 from ..streaming import degrees as stream
 from . import vertex_program
 from .data_queries import read
 from .graphs import graph, with_graph
-from .iterate import shared_folder
+from .iterate import cut, remove, shared_folder
 
 SOURCE, HUB = 0, 17
 DIGITS = 10
@@ -157,14 +160,28 @@ _query("degree_sorted_adjacency", "transitions", f"""
 ---
     SELECT v.id, coalesce(array_to_string(list(e.dst ORDER BY o.degree, e.dst) FILTER (e.dst IS NOT NULL), ','), '') AS neighbours
     FROM v LEFT JOIN (e JOIN o ON o.id = e.dst) ON e.src = v.id GROUP BY v.id""")(lambda g: _joined(transform.degree_sorted_adjacency(g), "neighbours"))
-_query("radix_sort", "stored", f"{_OUT}\n---\nSELECT id, degree FROM o ORDER BY degree >> 8")(lambda g: transform.radix_order(structure.degree(g), "degree", 24))
-_query("permute_vertices", "stored", f"{_OUT}\n---\nSELECT degree, count(*) AS vertex_count FROM o GROUP BY degree")(lambda g: analyze.degree_distribution(transform.permuted(g)))
-_query("random_weights", "transitions", "SELECT src, dst, true AS in_range FROM e")(
-    lambda g: transform.random_weights(g).edges.select("src", "dst", F.col("weight").between(0, g.vertex_count() - 1).alias("in_range")))
+# The place of each row in the result as it is returned, and the leading bits there.
+_query("radix_sort", "stored", f"{_OUT}\n---\nSELECT row_number() OVER (ORDER BY degree >> 2) - 1 AS place, CAST(degree >> 2 AS BIGINT) AS leading FROM o")(
+    lambda g: places(transform.radix_order(structure.degree(g), "degree", 30), "place").select("place", F.shiftright(F.col("degree").cast("long"), 2).alias("leading")))
+_query("permute_vertices", "stored", f"""
+    r AS (SELECT id, row_number() OVER (ORDER BY {spread_sql(transform.SEED, "id")}, id) - 1 AS new FROM v)
+---
+    SELECT a.new AS src, b.new AS dst, e.weight FROM e JOIN r a ON a.id = e.src JOIN r b ON b.id = e.dst""")(lambda g: transform.permuted(g).edges)
+_query("random_weights", "transitions", f"SELECT src, dst, {spread_sql(transform.SEED, 'src', 'dst')} % (SELECT count(*) FROM v) AS weight FROM e")(lambda g: transform.random_weights(g).edges)
+_query("adjacency_chunks", "stored", """
+    n AS (SELECT src AS id, dst, weight, (row_number() OVER (PARTITION BY src ORDER BY dst, weight) - 1) // 1000 AS chunk FROM e)
+---
+    SELECT v.id, CAST(coalesce(n.chunk, 0) AS INTEGER) AS chunk, coalesce(array_to_string(list(n.dst ORDER BY n.dst, n.weight) FILTER (n.dst IS NOT NULL), ','), '') AS neighbours
+    FROM v LEFT JOIN n USING (id) GROUP BY v.id, n.chunk""")(
+    lambda g: transform.adjacency(g, most=1000).select("id", "chunk", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours")))
+_query("direction_check", "co_purchase", """
+    SELECT false AS labelled_directed, NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric, 'undirected' AS direction""")(analyze.direction)
+_query("direction_check_stored", "stored", """
+    SELECT true AS labelled_directed, NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric, 'directed' AS direction""")(analyze.direction)
 
 # Partitions
 
-_HALF = """h AS (SELECT id, degree, CASE WHEN coalesce(sum(degree) OVER (ORDER BY degree {d}, id {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+_HALF = """h AS (SELECT id, degree, CASE WHEN coalesce(sum(degree) OVER (ORDER BY degree {d}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     < 0.5 * (SELECT count(*) FROM e) THEN 0 ELSE 1 END AS pid FROM o)"""
 _ASC, _DESC = f"{_OUT}, {_HALF.format(d='')}", f"{_OUT}, {_HALF.format(d='DESC')}"
 _query("partition_by_degree_asc", "stored", f"{_ASC}\n---\nSELECT id, pid FROM h")(lambda g: partition.by_degree(g, HALVES))
@@ -186,13 +203,37 @@ _query("partition_modularity", "stored", f"""
 ---
     SELECT round(sum(l - r * r), 9) AS modularity FROM y""")(
     lambda g: partition.modularity(g, partition.by_degree(g, HALVES, descending=True)).select(F.round("modularity", 9).alias("modularity")))
-_query("partition_random_fraction", "stored", """
-    n AS (SELECT count(*) AS n FROM v)
+_BY_SPREAD = f"p AS (SELECT id, {spread_sql(partition.SEED, 'id')} AS x FROM v)"
+_query("partition_random_fraction", "stored", f"""
+    {_BY_SPREAD}, r AS (SELECT id, row_number() OVER (ORDER BY x, id) - 1 AS k, count(*) OVER () AS n FROM p)
+---
+    SELECT id, CASE WHEN k < floor(n * 0.2::DOUBLE) THEN 0 WHEN k < floor(n * 0.2::DOUBLE) + floor(n * 0.3::DOUBLE) THEN 1 ELSE 2 END AS pid FROM r""")(
+    lambda g: partition.by_fractions(g, (0.2, 0.3, 0.5)))
+_query("partition_random", "stored", f"{_BY_SPREAD}\n---\nSELECT id, CAST(x % 4 AS INTEGER) AS pid FROM p")(lambda g: partition.by_hash(g, 4))
+# Three partitions: where each ends depends on where the one before crossed its share.
+_FILLED = """{out}, m AS (SELECT count(*) AS m FROM e),
+    x AS (SELECT id, degree, row_number() OVER w - 1 AS i, coalesce(sum(degree) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WINDOW w AS (ORDER BY degree {d}, id)),
+    c1 AS (SELECT max(before + degree) AS c FROM x, m WHERE before < {f}::DOUBLE * m), c2 AS (SELECT max(before + degree) AS c FROM x, m, c1 WHERE before >= c AND before < c + {f}::DOUBLE * m),
+    h AS (SELECT x.*, CASE WHEN before < c1.c THEN 0 WHEN before < c2.c THEN 1 ELSE 2 END AS pid FROM x, c1, c2)"""
+_THREE = _FILLED.format(out=_OUT, d="", f=0.3)
+_query("partition_three", "stored", f"{_THREE}\n---\nSELECT id, pid FROM h")(lambda g: partition.by_degree(g, (0.3, 0.3, 0.4)))
+_query("partition_even", "stored", f"{_FILLED.format(out=_OUT, d='DESC', f=repr(1 / 3))}\n---\nSELECT id, pid FROM h")(lambda g: partition.by_degree(g, 3, descending=True))
+_query("partition_lambda", "stored", f"""
+    {_THREE}, y AS (SELECT h.*, m - before - degree AS after FROM h, m),
+    l1 AS (SELECT max(after + degree) AS l FROM y, m WHERE after < 0.1::DOUBLE * m), l2 AS (SELECT max(after + degree) AS l FROM y, m, l1 WHERE after >= l AND after < l + 0.1::DOUBLE * m)
+---
+    SELECT id, CASE WHEN i > 0 AND after < l1.l THEN 0 WHEN i > 0 AND after < l2.l THEN 1 ELSE pid END AS pid FROM y, l1, l2""")(
+    lambda g: partition.by_degree(g, (0.3, 0.3, 0.4), from_end=0.2))
+_query("partition_singletons", "stored", f"""
+    {_DESC}
+---
+    SELECT id, CASE WHEN degree = 0 THEN 1 WHEN pid = 0 THEN 0 ELSE 2 END AS pid FROM h""")(
+    lambda g: partition.by_degree(g, (0.5, 0.2, 0.3), descending=True, singletons=True))
+_query("partition_randomized", "stored", f"""
+    {_THREE}
 ---
-    SELECT 0 AS pid, CAST(floor(n * 0.2) AS BIGINT) AS vertices FROM n UNION ALL SELECT 1, CAST(floor(n * 0.3) AS BIGINT) FROM n
-    UNION ALL SELECT 2, n - CAST(floor(n * 0.2) AS BIGINT) - CAST(floor(n * 0.3) AS BIGINT) FROM n""")(
-    lambda g: partition.by_fractions(g, (0.2, 0.3, 0.5)).groupBy("pid").agg(F.count(F.lit(1)).alias("vertices")))
-_query("partition_random", "stored")(lambda g: partition.by_hash(g, 4))
+    SELECT id, CAST(CASE WHEN pid < 2 THEN {spread_sql(partition.SEED, 'id')} % 2 ELSE pid END AS INTEGER) AS pid FROM h""")(
+    lambda g: partition.shuffled_among(partition.by_degree(g, (0.3, 0.3, 0.4)), 0, 2))
 
 # Sets and look-ups
 
@@ -253,9 +294,26 @@ _TREE = f"""t AS (SELECT b.id, min(a.id) AS parent FROM h a JOIN e ON e.src = a.
     SELECT v.id, coalesce(t.parent, {UNREACHED}) AS parent FROM v LEFT JOIN t USING (id)"""
 _query("bfs_tree", "co_purchase", f"{_LEVELS}, {_TREE}")(lambda g: traversal.bfs_tree(g, SOURCE))
 _query("bfs_tree_stored", "stored", f"{_FROM_HUB}, {_TREE}")(lambda g: traversal.bfs_tree(g, HUB))
-_query("bfs_tree_validate", "stored", """
-    SELECT 0::BIGINT AS bad_root, 0::BIGINT AS not_in_graph, 0::BIGINT AS no_path, 0::BIGINT AS one_end, 0::BIGINT AS level_gap""")(
-    lambda g: traversal.validate_tree(g, traversal.bfs_tree(g, HUB), HUB))
+
+
+def _broken_tree(g: Graph) -> DataFrame:
+    """The tree with wrong parents: vertices of large values are their own, and those without a value have the root."""
+    tree = traversal.bfs_tree(g, HUB).join(g.vertices, "id")
+    reached = (F.col("parent") != UNREACHED) & (F.col("id") != HUB)
+    return tree.select("id", F.when(reached & (F.col("value") > 10), F.col("id")).when(reached & F.col("value").isNull(), F.lit(HUB)).otherwise(F.col("parent")).alias("parent"))
+
+
+_query("bfs_tree_validate", "stored", f"""
+    {_FROM_HUB}, {_TREE.partition("---")[0]}, w AS (SELECT id, value FROM vertices UNION ALL SELECT id, value FROM core_vertices),
+    x AS (SELECT id, CASE WHEN id = {HUB} THEN parent WHEN value > 10 THEN id WHEN value IS NULL THEN {HUB} ELSE parent END AS parent FROM t JOIN w USING (id)),
+    l(id, d) USING KEY (id) AS (SELECT id, 0 FROM x WHERE id = {HUB} UNION SELECT x.id, l.d + 1 FROM l JOIN x ON x.parent = l.id AND x.id <> x.parent),
+    q AS (SELECT a.d AS la, b.d AS lb FROM e LEFT JOIN l a ON a.id = e.src LEFT JOIN l b ON b.id = e.dst)
+---
+    SELECT CAST(NOT EXISTS (SELECT 1 FROM x WHERE id = {HUB} AND parent = {HUB}) AS BIGINT) AS bad_root,
+           (SELECT count(*) FROM x WHERE id <> parent AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = x.parent AND e.dst = x.id)) AS not_in_graph,
+           (SELECT count(*) FROM x WHERE id NOT IN (SELECT id FROM l)) AS no_path,
+           (SELECT count(*) FROM q WHERE la IS NOT NULL AND lb IS NULL) AS one_end, (SELECT count(*) FROM q WHERE lb - la > 1) AS level_gap""")(
+    lambda g: traversal.validate_tree(g, _broken_tree(g), HUB))
 _query("st_connectivity", "forest", f"""
     {_LEVELS}
 ---
@@ -317,22 +375,23 @@ _query("clustering_coefficient", "transitions", f"""
 ---
     SELECT v.id, round(CASE WHEN d >= 2 THEN 2.0 * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END, {DIGITS}) AS coefficient FROM v LEFT JOIN g USING (id) LEFT JOIN c USING (id)""")(
     lambda g: structure.clustering_coefficient(g).select("id", F.round("coefficient", DIGITS).alias("coefficient")))
+# Peeled wave by wave: the round is the largest so far, or that of the least sum left, and who supports no more goes.
 _query("pcore", "customer_supplier", """
-    s AS (SELECT src AS id, CAST(ceil(sum(weight) / 5.0) AS BIGINT) AS b FROM e GROUP BY src),
-    h(id, b) USING KEY (id) AS (SELECT id, b FROM s UNION
-        SELECT a.id, a.best FROM (
-            SELECT id, max(least(b, CAST(ceil(c / 5.0) AS BIGINT))) AS best FROM (
-                SELECT id, b, sum(w) OVER (PARTITION BY id ORDER BY b DESC) AS c FROM (
-                    SELECT e.src AS id, p.b, sum(e.weight) AS w FROM e JOIN recurring.h p ON p.id = e.dst
-                    WHERE e.src IN (SELECT x.src FROM h JOIN e x ON x.dst = h.id) GROUP BY 1, 2)) GROUP BY id) a
-        JOIN recurring.h q ON q.id = a.id WHERE a.best < q.b)
+    h(id, r) USING KEY (id) AS (SELECT id, -1::BIGINT FROM v UNION
+        SELECT id, r FROM (
+            SELECT s.id, s.need, greatest((SELECT max(r) FROM recurring.h), min(s.need) OVER ()) AS r FROM (
+                SELECT p.id, CAST(ceil(coalesce(sum(e.weight) FILTER (q.r = -1), 0) / 5.0) AS BIGINT) AS need
+                FROM recurring.h p LEFT JOIN e ON e.src = p.id LEFT JOIN recurring.h q ON q.id = e.dst
+                WHERE p.r = -1 AND EXISTS (SELECT 1 FROM h) GROUP BY p.id) s)
+        WHERE need <= r)
 ---
-    SELECT id, b AS round FROM h""")(lambda g: structure.pcore(g, start=0, step=5))
+    SELECT id, r AS round FROM h""")(lambda g: structure.pcore(g, start=0, step=5))
 
 # Centralities
 
-_ALL_HOPS = """h(s, id, d) USING KEY (s, id) AS (SELECT id, id, 0 FROM v UNION
+_HOPS_FROM = """h(s, id, d) USING KEY (s, id) AS (SELECT id, id, 0 FROM {start} UNION
     SELECT h.s, e.dst, min(h.d + 1) FROM h JOIN e ON h.id = e.src LEFT JOIN recurring.h p ON p.s = h.s AND p.id = e.dst WHERE p.id IS NULL GROUP BY h.s, e.dst)"""
+_ALL_HOPS = _HOPS_FROM.format(start="v")
 _query("closeness", "transitions", f"""
     {_ALL_HOPS}, c AS (SELECT s AS id, count(*) AS c, sum(d) AS t FROM h GROUP BY s)
 ---
@@ -341,9 +400,9 @@ _query("closeness", "transitions", f"""
 _DEPTH = 6
 
 
-def _paths(depth: int, gain: str) -> str:
+def _paths(depth: int, gain: str, start: str = "v") -> str:
     """Numbers of paths by level, and what comes back, down from the deepest level; levels beyond the graph's are empty."""
-    out = ["f0 AS (SELECT id AS s, id, 1.0::DOUBLE AS p FROM v)"]
+    out = [f"f0 AS (SELECT id AS s, id, 1.0::DOUBLE AS p FROM {start})"]
     for k in range(1, depth + 1):
         out.append(f"f{k} AS MATERIALIZED (SELECT h.s, h.id, sum(f.p) AS p FROM f{k - 1} f JOIN e ON e.src = f.id JOIN h ON h.s = f.s AND h.id = e.dst AND h.d = {k} GROUP BY 1, 2)")
     out.append(f"b{depth} AS (SELECT s, id, p, 0.0::DOUBLE AS g FROM f{depth})")
@@ -362,7 +421,13 @@ _query("stress", "transitions", f"""
     {_ALL_HOPS}, {_paths(_DEPTH, "1 + b.g")}, z AS (SELECT id, sum(g * p) AS g FROM ({_BACK}) GROUP BY id)
 ---
     SELECT v.id, CAST(round(coalesce(g, 0)) AS BIGINT) AS score FROM v LEFT JOIN z USING (id)""")(centrality.stress)
-_query("betweenness", "transitions")(lambda g: centrality.betweenness(g, epsilon=0.5, batch=16))
+_query("betweenness", "transitions", f"""
+    k AS MATERIALIZED (SELECT id FROM v WHERE id IN (SELECT src FROM e) ORDER BY {spread_sql(centrality.SEED, "id")}, id
+        LIMIT (SELECT CAST(floor(log2(count(*))) / (0.5::DOUBLE * 0.5::DOUBLE) AS BIGINT) FROM v)),
+    {_HOPS_FROM.format(start="k")}, {_paths(_DEPTH, "f.p / b.p * (1 + b.g)", "k")}, z AS (SELECT id, sum(g) AS g FROM ({_BACK}) GROUP BY id)
+---
+    SELECT v.id, round(coalesce(g, 0) * ((SELECT count(*) FROM v) / (SELECT count(*) FROM k)::DOUBLE), 6) AS score FROM v LEFT JOIN z USING (id)""")(
+    lambda g: centrality.betweenness(g, epsilon=0.5, batch=16).select("id", F.round("score", 6).alias("score")))
 _query("centrality_samples", "stored", "SELECT least(CAST(floor(floor(log2(count(*))) / (0.2::DOUBLE * 0.2::DOUBLE)) AS BIGINT), count(*)) AS samples FROM v")(
     lambda g: centrality.samples(g, 0.2).agg(F.count(F.lit(1)).alias("samples")))
 
@@ -373,6 +438,26 @@ _query("pregel_in_degree", "stored", f"{_IN}\n---\nSELECT id, degree AS state FR
 _query("pregel_components", "order_chain", f"{_WEAK}, {_LABELS.format(edges='w')}\n---\nSELECT id, l AS state FROM h")(
     lambda g: vertex_program.run(g, F.col("id"), F.col("state"), "min", F.least("state", "message"), against=F.col("state")))
 
+_query("pregel_largest", "order_chain", f"{_WEAK}, {_LABELS.format(edges='w').replace('min(', 'max(').replace('max(h.l) < max(p.l)', 'max(h.l) > max(p.l)')}\n---\nSELECT id, l AS state FROM h")(
+    lambda g: vertex_program.run(g, F.col("id"), F.col("state"), "max", F.greatest("state", "message"), against=F.col("state")))
+_query("pregel_gathered_levels", "stored", f"{_FROM_HUB}\n---\nSELECT v.id, h.d::BIGINT AS state FROM v LEFT JOIN h USING (id)")(
+    lambda g: vertex_program.run(g, F.when(F.col("id") == HUB, 0).cast("long"), F.col("state") + 1, "min", F.col("message"), gather=F.col("state").isNull()))
+_query("pregel_rank", "stored", f"""
+    {_OUT}, n AS (SELECT count(*) AS n FROM v), a AS (SELECT id, degree, 1.0::DOUBLE / n AS x FROM o, n),
+    b AS (SELECT e.dst AS id, sum(x / degree) AS got FROM e JOIN a ON a.id = e.src GROUP BY 1)
+---
+    SELECT v.id, round(0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0), {DIGITS}) AS state FROM v CROSS JOIN n LEFT JOIN b USING (id)""")(
+    lambda g: _one_rank(g))
+
+
+def _one_rank(g: Graph) -> DataFrame:
+    """A program in which vertices without messages change, too: a round of rank over edges with their share as weight."""
+    n = g.vertex_count()
+    shares = g.edges.select("src", "dst").join(structure.degree(g).withColumnRenamed("id", "src"), "src").select("src", "dst", F.col("degree").alias("weight"))
+    shared = Graph(g.vertices, shares, directed=True, weighted=True)
+    rank = vertex_program.run(shared, F.lit(1.0 / n), F.col("state") / F.col("weight"), "sum", F.lit(0.15 / n) + 0.85 * F.coalesce("message", F.lit(0.0)), idle=True, max_steps=1)
+    return rank.select("id", F.round("state", DIGITS).alias("state"))
+
 
 def _supply_network(spark: SparkSession, d: str) -> Graph:
     """From -1 to all customers, to suppliers, to -2; suppliers pass on at most 100 lines."""
@@ -391,16 +476,22 @@ ORACLE_SQL["maxflow"] = with_graph("customer_supplier") + """
 # Generators
 
 QUERIES["rmat"] = lambda spark, d: analyze.degree_distribution(generate.rmat(spark, generate.SCALE))
-QUERIES["uniform_graph"] = lambda spark, d: analyze.summary(generate.uniform(spark, 12)).select("vertex_count", "edge_count", "self_loops", "dangling_edges")
-ORACLE_SQL["uniform_graph"] = "SELECT 4094::BIGINT AS vertex_count, 65504::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
-QUERIES["rmat_summary"] = lambda spark, d: analyze.summary(generate.rmat(spark, 12)).select("vertex_count", "edge_count", "self_loops", "dangling_edges")
-ORACLE_SQL["rmat_summary"] = ORACLE_SQL["uniform_graph"]
-# The SQL of the two above is of scale 12.
 _COUNTS = ("vertex_count", "edge_count", "self_loops", "dangling_edges")
-QUERIES["uniform_graph_20"] = lambda spark, d: analyze.summary(generate.uniform(spark, generate.SCALE).written()).select(*_COUNTS)
+
+
+def _uniform_sql(scale: int) -> str:
+    n = (1 << scale) - 2
+    return f"""WITH e AS (SELECT {spread_sql(generate.SEED, "range")} % {n} AS src, {spread_sql(generate.SEED + 1, "range")} % {n - 1} + 1 AS shift FROM range({16 * n}))
+        SELECT src, (src + shift) % {n} AS dst FROM e"""
+
+
+QUERIES["uniform_graph"] = lambda spark, d: generate.uniform(spark, 12).edges
+ORACLE_SQL["uniform_graph"] = _uniform_sql(12)
+QUERIES["uniform_degrees_20"] = lambda spark, d: analyze.degree_distribution(generate.uniform(spark, generate.SCALE))
+ORACLE_SQL["uniform_degrees_20"] = f"""
+    SELECT degree, count(*) AS vertex_count FROM (SELECT v.range AS id, count(src) AS degree FROM range({(1 << generate.SCALE) - 2}) v LEFT JOIN ({_uniform_sql(generate.SCALE)}) ON src = v.range GROUP BY 1) GROUP BY 1"""
 QUERIES["rmat_summary_20"] = lambda spark, d: analyze.summary(generate.rmat(spark, generate.SCALE).written()).select(*_COUNTS)
-ORACLE_SQL["uniform_graph_20"] = "SELECT 1048574::BIGINT AS vertex_count, 16777184::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
-ORACLE_SQL["rmat_summary_20"] = ORACLE_SQL["uniform_graph_20"]
+ORACLE_SQL["rmat_summary_20"] = f"SELECT {(1 << generate.SCALE) - 2}::BIGINT AS vertex_count, {16 * ((1 << generate.SCALE) - 2)}::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
 QUERIES["kronecker"] = lambda spark, d: analyze.degree_distribution(generate.kronecker(spark, generate.SCALE))
 QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spark, [(2, 635_500), (5, 317_750), (20, 95_324)]))
 
@@ -408,12 +499,62 @@ QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spa
 
 
 def _stream_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Each batch appends the counts that it changed; a count only grows, so the largest is the newest."""
     folder = f"{shared_folder(spark)}/arcweave-stream-{uuid.uuid4().hex}"
     counts = stream.running_degrees(stream.edge_stream(spark, f"{d}/edges.parquet*"))
-    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/degrees")).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/degrees")
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/degrees/batch={n}")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/degrees").groupBy("id").agg(F.max("degree").alias("degree"))
 
 
 QUERIES["stream_degrees"] = _stream_degrees
 ORACLE_SQL["stream_degrees"] = "SELECT src AS id, count(*) AS degree FROM edges WHERE src IS NOT NULL GROUP BY src"
+
+# Files: each graph is written, read again and kept as a table; the files go.
+
+_KEPT_SQL = "k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new FROM v WHERE id IN (SELECT src FROM e) OR id IN (SELECT dst FROM e))"
+_DENSE_SQL = f"{_KEPT_SQL}\n---\nSELECT a.new AS src, b.new AS dst, e.weight FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst"
+
+
+def _through(form: Callable[[Graph, str], Graph]) -> Callable[[Graph], DataFrame]:
+    def run(g: Graph) -> DataFrame:
+        path = f"{shared_folder(g.spark)}/arcweave-files-{uuid.uuid4().hex}"
+        rows = cut(form(transform.remove_singletons(g).written(), path).edges)
+        remove(g.spark, path)
+        return rows
+
+    return run
+
+
+def _as_text(g: Graph, path: str) -> Graph:
+    text.write_text(g, f"{path}/g")
+    return text.read_text(g.spark, text.concatenated(g.spark, f"{path}/g"), weighted=True)
+
+
+def _as_binary(g: Graph, path: str) -> Graph:
+    g.spark.range(1).write.parquet(path)  # makes the folder
+    binary.write_binary(g, f"{path}/g.bin")
+    return binary.read_binary(g.spark, f"{path}/g.bin", weighted=True)
+
+
+def _as_store(g: Graph, path: str) -> Graph:
+    store.write_graph(g, path)
+    return store.load(g.spark, path)
+
+
+def _as_edge_list(g: Graph, path: str) -> Graph:
+    """Ids that are not dense, in lines of their own kind of separator."""
+    g.edges.select(F.format_string("%d\t: %d", F.col("src") * 3 + 5, F.col("dst") * 3 + 5).alias("line")).write.text(path)
+    return text.read_edge_list(g.spark, path)
+
+
+def _as_matrix(g: Graph, path: str) -> Graph:
+    g.edges.select(F.format_string("%d %d 1.5", F.col("src") + 1, F.col("dst") + 1).alias("line")).write.text(path)
+    return text.read_sparse_matrix(g.spark, path)
+
+
+_query("text_round_trip", "stored", _DENSE_SQL)(_through(_as_text))
+_query("binary_round_trip", "stored", _DENSE_SQL)(_through(_as_binary))
+_query("store_round_trip", "stored", _DENSE_SQL)(_through(_as_store))
+_query("edge_list", "stored", _DENSE_SQL.replace(", e.weight", ""))(_through(_as_edge_list))
+_query("sparse_matrix", "stored", _DENSE_SQL.replace(", e.weight", "").replace("a.new AS", "a.new + 1 AS").replace("b.new AS", "b.new + 1 AS"))(_through(_as_matrix))

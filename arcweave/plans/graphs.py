@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import next_in_order
+from ..functions.ordering import with_previous
 from ..graph import Graph
 from .data_queries import read
 from .iterate import cut
@@ -38,7 +38,7 @@ def customer_supplier(spark: SparkSession, d: str) -> Graph:
 def transitions(spark: SparkSession, d: str) -> Graph:
     """From the user of an event to the user of the next one."""
     events = read(spark, d, "events").select("ts", "event_id", "user_id")
-    following = next_in_order(events, ["ts", "event_id"], F.date_trunc("day", "ts"), "user_id", "dst")
+    following = with_previous(events, ["-ts", "-event_id"], {"dst": "user_id"}).where("dst is not null")
     return Graph.of_edges(following.where("user_id <> dst").select(F.col("user_id").alias("src"), "dst").distinct())
 
 

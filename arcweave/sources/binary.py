@@ -7,17 +7,21 @@ a range of edges: the first one's source is found by bisection in the file, and
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_running
 from ..graph import Graph
+from ..plans.iterate import cut, remove, scoped, shared_folder
 from ..plans.shipping import ship
 
 # Fixed values of the format.
@@ -25,6 +29,7 @@ MAGIC = 0x10102048
 _TYPES = {4: "<u4", 8: "<u8"}
 WEIGHT = np.dtype("<u4")
 SLICE = 1 << 20
+COPIED = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -131,28 +136,52 @@ def read_binary(spark: SparkSession, path: str, weighted: bool = False, slice_ed
     return Graph(vertices, edge_rows, x.directed, weighted, x.valued)
 
 
+def _parts(df: DataFrame, folder: str, name: str, kind: str) -> list[str]:
+    """Write the one column of a sorted DataFrame as raw numbers, a part for each partition; the parts in order."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        path = f"{folder}/{name}-{context.partitionId():06d}-{context.taskAttemptId()}"
+        system, file = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        system.create_dir(os.path.dirname(file))
+        with system.open_output_stream(file) as out:
+            for batch in batches:
+                out.write(batch.column(0).fill_null(0).to_numpy().astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([path])], ["part", "path"])
+
+    # One row per partition comes back, with the file of the attempt that counts.
+    return [r.path for r in sorted(df.mapInArrow(write, "part int, path string").collect())]
+
+
+@scoped
 def write_binary(graph: Graph, path: str) -> None:
-    """One binary file of a graph with dense ids, streamed through the driver partition by partition, sorted by source.
+    """One binary file of a graph with dense ids, edges sorted by source and neighbour.
 
-    An export for tools of this format. The engine's own store is Parquet, see store.write_graph().
+    An export for tools of this format; the engine's own store is Parquet, see store.write_graph(). The arrays are sorted
+    and written by all tasks, a part for each partition, in the folder for written tables; the driver only puts the
+    parts' bytes behind each other.
     """
+    ship(graph.spark)
     n, m = graph.vertex_count(), graph.edge_count()
-    system, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     wide = m >= 1 << 32
     edge_kind = _TYPES[8 if wide else 4]
-    degrees = graph.vertices.select("id").join(graph.edges.groupBy(F.col("src").alias("id")).count(), "id", "left").orderBy("id").select(F.coalesce("count", F.lit(0)))
-    ordered = graph.edges.orderBy("src", "dst")
+    folder = f"{shared_folder(graph.spark)}/arcweave-{uuid.uuid4().hex}"
+    degrees = graph.vertices.select("id").join(graph.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
+    ends = with_running(degrees, ["id"], sums={"start": "d"}).orderBy("id").select((F.col("start") + F.col("d")).alias("end"))
+    arrays = [_parts(ends, folder, "offsets", edge_kind)]
+    if graph.valued:
+        arrays.append(_parts(graph.vertices.orderBy("id").select("value"), folder, "values", WEIGHT.str))
+    ordered = cut(graph.edges.orderBy(*graph.edges.columns).withColumn("_at", F.monotonically_increasing_id()))
+    for column in ("dst", "weight")[: 1 + graph.weighted]:
+        arrays.append(_parts(ordered.orderBy("_at").select(column), folder, column, WEIGHT.str))
+    system, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     with system.open_output_stream(name) as out:
         out.write(struct.pack("<3I", MAGIC, 4, 8 if wide else 4) + struct.pack("<I", n) + np.array([m], edge_kind).tobytes())
-        out.write(bytes([graph.valued, graph.weighted, graph.directed]))
-        at = 0
-        out.write(np.array([0], edge_kind).tobytes())
-        for (d,) in degrees.toLocalIterator():
-            at += d
-            out.write(np.array([at], edge_kind).tobytes())
-        if graph.valued:
-            for (v,) in graph.vertices.orderBy("id").select("value").toLocalIterator():
-                out.write(np.array([v or 0], WEIGHT).tobytes())
-        for column in ("dst", "weight")[: 1 + graph.weighted]:
-            for (v,) in ordered.select(column).toLocalIterator():
-                out.write(np.array([v], WEIGHT).tobytes())
+        out.write(bytes([graph.valued, graph.weighted, graph.directed]) + np.array([0], edge_kind).tobytes())
+        for part in (p for parts in arrays for p in parts):
+            with _open(part) as file:
+                while block := file.read(COPIED):
+                    out.write(block)
+    remove(graph.spark, folder)

@@ -186,17 +186,37 @@ def _augmented(n, edges, s, t):
         total += least
 
 
+def _frames(draw, size, count):
+    """Frames of a grid behind each other: strong links within a frame, weak ones at random to the next."""
+    at = lambda f, r, c: (f * size + r) * size + c
+    edges = []
+    for f in range(count):
+        for r in range(size):
+            for c in range(size):
+                edges += [(at(f, r, c), at(f, r + x, c + y), 40) for x, y in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= r + x < size and 0 <= c + y < size]
+                if f + 1 < count:
+                    edges.append((at(f, r, c), at(f + 1, draw.randrange(size), draw.randrange(size)), draw.randint(1, 20)))
+    return size * size * count, edges
+
+
+def _levels(draw, rows, columns):
+    """Levels of vertices between a source and a sink, three links from each to the next level."""
+    edges = [(0, 1 + r, 300) for r in range(rows)] + [(1 + (columns - 1) * rows + r, 1 + columns * rows, 300) for r in range(rows)]
+    edges += [(1 + c * rows + r, 1 + (c + 1) * rows + draw.randrange(rows), draw.randint(2, 300)) for c in range(columns - 1) for r in range(rows) for _ in range(3)]
+    return 2 + columns * rows, edges
+
+
 def test_flow(spark):
     draw = random.Random(7)
-    for n, share in ((8, 0.4), (14, 0.25)):
-        edges = [(a, b, draw.randint(1, 20)) for a in range(n) for b in range(n) if draw.random() < share]
-        g = build(spark, n, edges, directed=True, weighted=True)
-        assert flow.maxflow(g, 0, n - 1).first().flow == _augmented(n, edges, 0, n - 1)
+    dense = [(a, b, draw.randint(1, 1000)) for a in range(20) for b in range(a + 1, 20)]
+    both_ways = [(a, b, draw.randint(1, 20)) for a in range(12) for b in range(12) if draw.random() < 0.3]
+    for n, edges in ((12, both_ways), (20, dense), _frames(draw, 2, 4), _levels(draw, 4, 4)):
+        assert flow.maxflow(build(spark, n, edges, directed=True, weighted=True), 0, n - 1).first().flow == _augmented(n, edges, 0, n - 1)
     small = [(0, 1, 3), (0, 2, 2), (1, 2, 5), (1, 3, 2), (2, 3, 3)]
     g = build(spark, 4, small, directed=True, weighted=True)
-    assert flow.maxflow(g, 0, 3).first().flow == flow.maxflow(g, 0, 3, local_edges=0).first().flow == 5
-    one_way = [(i, i + 1, 99 - i) for i in range(99)]
-    assert flow.maxflow(build(spark, 100, one_way, directed=True, weighted=True), 0, 99).first().flow == 1
+    assert tuple(flow.maxflow(g, 0, 3).first()) == (0, 3, 5)
+    one_way = build(spark, 12, [(i, i + 1, 12 - i) for i in range(11)] + [(0, 11, 5), (3, 3, 9), (20, 11, 9)], directed=True, weighted=True)
+    assert flow.maxflow(one_way, 0, 11).first().flow == 7
     assert flow.maxflow(build(spark, 3, [(0, 1, 4)], directed=True, weighted=True), 0, 2).first().flow == 0
     with pytest.raises(ValueError):
         flow.maxflow(g, 1, 1)
@@ -254,6 +274,11 @@ def test_transforms(spark):
     assert weighted.edges.where("weight < 0 or weight > 9").count() == 0
     lists = transform.adjacency(build(spark, 3, [(0, 2, 7), (0, 1, 9)], directed=True, weighted=True))
     assert {r.id: (r.neighbours, r.weights) for r in lists.collect()} == {0: ([1, 2], [9, 7]), 1: ([], []), 2: ([], [])}
+    hub = build(spark, 30, star(30) + [(0, 3)])
+    for down in (False, True):
+        chunks = sorted((r.id, r.chunk, r.neighbours) for r in transform.adjacency(hub, descending=down, most=8).collect())
+        whole = sorted([*range(1, 30), 3], reverse=down)
+        assert [c for c in chunks if c[0] == 0] == [(0, i, whole[8 * i : 8 * i + 8]) for i in range(4)] and chunks[4:] == [(i, 0, [0]) for i in range(1, 30)]
     swapped = transform.residual(build(spark, 2, [(0, 1, 7)], directed=True, weighted=True)).orderBy("src").collect()
     assert [tuple(r) for r in swapped] == [(0, 1, 7, True), (1, 0, 0, False)]
 
@@ -265,11 +290,18 @@ def test_partitions(spark):
     assert set(values(partition.by_hash(g, 3)).values()) <= {0, 1, 2}
     down = values(partition.by_degree(g, (0.5, 0.5), descending=True))
     assert down[0] == 0 and sum(p == 0 for p in down.values()) == 1
-    taken = values(partition.by_degree(g, (0.5, 0.5), taken_from_end=(0.1, 0.0)))
+    # Ascending, the leaves fill; of the end of the order, the hub alone is more than the share.
+    taken = values(partition.by_degree(g, (0.5, 0.5), from_end=0.1))
     assert taken[0] == 0
+    assert sizes(partition.by_degree(build(spark, 9, complete(9)), 3)) == [3, 3, 3]
     alone = build(spark, 6, chain(4))
-    apart = values(partition.by_degree(alone, (0.5, 0.5), singletons=True))
-    assert apart[4] == apart[5] == 1
+    assert values(partition.by_degree(alone, (0.5, 0.2, 0.3), singletons=True)) == {0: 0, 3: 0, 1: 0, 2: 2, 4: 1, 5: 1}
+    assert values(partition.by_degree(alone, (0.5, 0.5))) == {4: 0, 5: 0, 0: 0, 3: 0, 1: 0, 2: 1}
+    # Of equal degrees, the smaller id comes first in both orders; a share that is not reached takes all that is left.
+    assert values(partition.by_degree(alone, (0.3, 0.3, 0.4), descending=True)) == {1: 0, 2: 1, 0: 2, 3: 2, 4: 2, 5: 2}
+    assert values(partition.by_degree(alone, (0.3, 0.7, 0.0), descending=True)) == {1: 0, 2: 1, 0: 1, 3: 1, 4: 1, 5: 1}
+    with pytest.raises(ValueError):
+        partition.by_degree(alone, 1, singletons=True)
     for bad in ((), (0.5, 0.2), (-0.5, 1.5)):
         with pytest.raises(ValueError):
             partition.by_fractions(g, bad)
@@ -287,9 +319,16 @@ def test_generators(spark):
         assert (row.vertex_count, row.edge_count, row.self_loops, row.dangling_edges) == (62, 992, 0, 0)
     again = generate.rmat(spark, 6, block_edges=100).edges.exceptAll(generate.rmat(spark, 6, block_edges=100).edges)
     assert again.isEmpty()
-    blocks = generate.bter(spark, [(0, 3), (2, 30), (6, 21)])
+    blocks = generate.bter(spark, [(0, 3), (1, 400), (2, 30), (6, 700)])
     row = analyze.summary(blocks).first()
-    assert row.vertex_count == 54 and row.is_symmetric and row.self_loops == 0
+    assert row.vertex_count == 1133 and row.is_symmetric and row.self_loops == 0
+    got = values(structure.degree(blocks))
+    # By hand, three quarters of the vertices of degree one have a link, and degrees are about those asked for.
+    assert min(got[i] for i in range(300)) >= 1 and 0.8 < sum(got[i] for i in range(430, 1130)) / (700 * 6) < 1.2
+    dense, loose = (values(structure.clustering_coefficient(generate.bter(spark, [(6, 700)], clustering=lambda d, most: rho))) for rho in (0.9, 0.3))
+    assert sum(dense.values()) > sum(loose.values()) > 0
+    assert generate.falling(2, 50) > generate.falling(10, 50) > generate.falling(50, 50)
+    assert analyze.summary(generate.bter(spark, [(1, 10)], by_hand=1.0)).first().edge_count == 10
     with pytest.raises(ValueError):
         generate.rmat(spark, 1)
 
@@ -304,6 +343,113 @@ def test_rmat_ids_do_not_reveal_degrees(spark):
     assert same(drawn) == same(g)
 
 
+def test_pull_max_and_idle_programs(spark):
+    g = build(spark, 30, star(30))
+    far = vertex_program.run(g, F.when(F.col("id") == 7, 0).cast("long"), F.col("state") + 1, "min", F.col("message"), gather=F.col("state").isNull())
+    assert values(far) == {i: 0 if i == 7 else 1 if i == 0 else 2 for i in range(30)}
+    assert set(values(vertex_program.run(g, F.col("id"), F.col("state"), "max", F.greatest("state", "message"))).values()) == {29}
+    count = vertex_program.run(build(spark, 3, [(0, 1)], directed=True), F.lit(5).cast("long"), F.lit(1).cast("long"), "sum", F.coalesce("message", F.lit(0)), idle=True, max_steps=1)
+    assert values(count) == {0: 0, 1: 1, 2: 0}
+    with pytest.raises(ValueError):
+        vertex_program.run(g, F.col("id"), F.col("state"), "min", F.col("message"), against=F.col("state"), gather=F.lit(True))
+
+
+def test_ledger(spark):
+    """Against a dictionary, with tables put together at every chance."""
+    from arcweave.plans.ledger import Ledger
+
+    draw = random.Random(4)
+    for rule in ("once", "least", "newest"):
+        book = {i: draw.randint(0, 99) for i in range(20)}
+        with Ledger(spark.createDataFrame(list(book.items()), "id long, x long"), ["id"], ["x"], rule, least_rows=30) as known:
+            for turn in range(14):
+                rows = {draw.randint(0, 60): draw.randint(0, 99) for _ in range(draw.choice((1, 2, 12)))}
+                rows = {k: v for k, v in rows.items() if rule != "once" or k not in book}
+                if not rows:
+                    continue
+                asked = spark.createDataFrame([(k,) for k in range(62)], "id long")
+                if turn % 5 == 0:
+                    assert {r.id: r.known for r in known.beside(asked).collect()} == {k: book.get(k) for k in range(62)}
+                entry = known.add(spark.createDataFrame([(k, v, "more") for k, v in rows.items()], "id long, x long, other string"))
+                assert entry.rows == len(rows) and {r.id: r.x for r in entry.df.collect()} == rows
+                book |= {k: min(v, book.get(k, v)) if rule == "least" else v for k, v in rows.items()}
+            assert {r.id: r.x for r in known.all().collect()} == book and len(known.entries) <= 9
+
+
+def test_tables_that_no_result_reads_are_removed(spark):
+    from arcweave.plans import iterate
+
+    before = set(iterate._KEPT)
+    result = traversal.sssp(build(spark, 6, chain(6, 2), weighted=True), 0)
+    made = set(iterate._KEPT) - before
+    assert values(result) == {i: 2 * i for i in range(6)} and made and made == {p for p in made if p.rsplit("/", 1)[-1] in iterate._tables_of(result)}
+    iterate.release(result)
+    assert set(iterate._KEPT) == before
+    with pytest.raises(ValueError):
+        traversal.sssp(build(spark, 3, [(0, 1, -1)], directed=True, weighted=True), 0)
+    assert set(iterate._KEPT) == before
+
+
+def test_no_folder_of_our_own_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from arcweave.plans import iterate
+
+    for master, allowed in (("spark://host:7077", False), ("local-cluster[3,2,3000]", False), ("yarn", False), ("local[4]", True)):
+        settings = {}
+        conf = SimpleNamespace(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__)
+        fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+        if allowed:
+            assert iterate.shared_folder(fake).startswith("file://")
+        else:
+            with pytest.raises(ValueError):
+                iterate.shared_folder(fake)
+
+
+def test_orders(spark):
+    from arcweave.functions import ordering
+
+    draw = random.Random(2)
+    rows = [(i, draw.randint(0, 30), draw.choice([None, 1, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, x long")
+    expected = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = sorted(ordering.with_running(df, ["-k", "id"], index="i", sums={"before": "x"}).collect(), key=lambda r: r.i)
+    total = 0
+    for i, (r, e) in enumerate(zip(got, expected)):
+        assert (r.i, r.id, r.x, r.before) == (i, e[0], e[2], total)
+        total += e[2] or 0
+    after = {r.id: (r.b, r.y) for r in ordering.with_previous(df, ["-k", "id"], {"b": "id", "y": "x"}).collect()}
+    assert after == {e[0]: (expected[i - 1][0], expected[i - 1][2]) if i else (None, None) for i, e in enumerate(expected)}
+    assert ordering.with_running(df.limit(0), ["id"], index="i", sums={"s": "x"}).count() == ordering.with_previous(df.limit(0), ["id"], {"b": "x"}).count() == 0
+    assert [r.k for r in sorted(ordering.places(df.orderBy("k"), "p").collect(), key=lambda r: r.p)] == sorted(r[1] for r in rows)
+
+
+def test_spread_is_even_and_the_same_in_sql(spark, duck):
+    from arcweave.functions.spread import spread, spread_sql
+
+    df = spark.range(4000).select("id", (F.col("id") * 7 + 3_000_000_000).alias("b"))
+    ours = df.select(spread(9, "id", "b")).toPandas().iloc[:, 0]
+    theirs = duck.execute(f"SELECT {spread_sql(9, 'a', 'b')} FROM (SELECT range AS a, range * 7 + 3000000000 AS b FROM range(4000)) ORDER BY a").fetchdf().iloc[:, 0]
+    assert (ours == theirs).all() and ours.nunique() > 3990
+    assert all(300 < n < 500 for n in (ours % 10).value_counts()) and all(300 < n < 500 for n in (ours // (2**32 // 10)).clip(upper=9).value_counts())
+
+
+def test_directions(spark):
+    for directed, edges, word in ((True, [(0, 1)], "directed"), (False, both([(0, 1)]), "undirected"), (True, both([(0, 1)]), "labelled"), (False, [(0, 1)], "invalid")):
+        assert analyze.direction(build(spark, 2, edges, directed=directed)).first().direction.startswith(word)
+
+
+def test_triangles_of_hot_vertices(spark):
+    """A vertex that many point to meets them in several tasks."""
+    from arcweave.operators.structure import _closed
+
+    draw = random.Random(3)
+    pairs = [(a, b) for a in range(60) for b in range(a) if draw.random() < 0.15] + [(i, 100 + i) for i in range(60)]
+    g = build(spark, 160, both(pairs) + [(5, 5), (1, 0)])
+    assert {r.id: r.triangles for r in _closed(g, least_rows=0).collect()} == {r.id: r.triangles for r in structure.triangle_count(g).collect() if r.triangles}
+    assert values(centrality.closeness(g, batch=50)) == values(centrality.closeness(g))
+
+
 def test_extra_columns_and_clashing_names(spark):
     vertices = spark.createDataFrame([(i, "x", 1) for i in range(3)], "id long, src string, _hub int")
     edges = spark.createDataFrame([(0, 1, "a", 3), (1, 2, "b", 4)], "src long, dst long, id string, cost int")
