@@ -52,7 +52,7 @@ def with_running(df: DataFrame, order: Sequence[str], index: str | None = None,
         # The value stays, and beside it goes its running sum.
         placed = placed.select(*df.columns, *(f"_s{i}" for i in range(len(sums))), *(F.col(f"_s{i}").alias(f"_r{i}") for i in range(len(sums))), "_at")
         at = list(range(width + len(sums), width + 2 * len(sums)))
-        placed = placed.mapInArrow(lambda it: _running(it, at), T.StructType(placed.schema.fields))
+        placed = placed.mapInArrow(lambda it: _running(it, at), T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema]))
     placed = cut(placed)
     part, row = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     own = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.sum(f"_s{i}"), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))))
@@ -96,7 +96,7 @@ def with_previous(df: DataFrame, order: Sequence[str], names: dict[str, str]) ->
     placed = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", *(c.alias(f"_v{i}") for i, c in enumerate(given)), *(c.alias(f"_w{i}") for i, c in enumerate(given)), F.monotonically_increasing_id().alias("_at"))
     ship(df.sparkSession)
     at = list(range(len(df.columns) + len(given), len(df.columns) + 2 * len(given)))
-    placed = cut(placed.mapInArrow(lambda it: _shifted(it, at), T.StructType(placed.schema.fields)))
+    placed = cut(placed.mapInArrow(lambda it: _shifted(it, at), T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema])))
     part, row = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     lasts = placed.groupBy(part.alias("_part")).agg(F.max_by(F.struct(*(f"_v{i}" for i in range(len(given)))), "_at").alias("_last"))
     before = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"))  # one row per partition

@@ -73,7 +73,7 @@ _SUMMARY = f"""
            (SELECT count(*) FROM e WHERE src = dst) AS self_loops,
            (SELECT count(*) FROM e WHERE src NOT IN (SELECT id FROM v) OR dst NOT IN (SELECT id FROM v)) AS dangling_edges,
            (SELECT max(degree) FROM o) AS max_degree,
-           NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric"""
+           NOT EXISTS (SELECT src, dst FROM e EXCEPT SELECT dst, src FROM e) AS is_symmetric"""
 _query("graph_summary", "stored", _SUMMARY)(analyze.summary)
 _query("graph_summary_delivered", "delivered", _SUMMARY)(analyze.summary)
 _query("degree_order", "forest", f"""
@@ -175,9 +175,9 @@ _query("adjacency_chunks", "stored", """
     FROM v LEFT JOIN n USING (id) GROUP BY v.id, n.chunk""")(
     lambda g: transform.adjacency(g, most=1000).select("id", "chunk", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours")))
 _query("direction_check", "co_purchase", """
-    SELECT false AS labelled_directed, NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric, 'undirected' AS direction""")(analyze.direction)
+    SELECT false AS labelled_directed, NOT EXISTS (SELECT src, dst FROM e EXCEPT SELECT dst, src FROM e) AS is_symmetric, 'undirected' AS direction""")(analyze.direction)
 _query("direction_check_stored", "stored", """
-    SELECT true AS labelled_directed, NOT EXISTS (SELECT 1 FROM e a ANTI JOIN e b ON a.src = b.dst AND a.dst = b.src) AS is_symmetric, 'directed' AS direction""")(analyze.direction)
+    SELECT true AS labelled_directed, NOT EXISTS (SELECT src, dst FROM e EXCEPT SELECT dst, src FROM e) AS is_symmetric, 'directed' AS direction""")(analyze.direction)
 
 # Partitions
 
