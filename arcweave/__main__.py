@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
-import time
 
 from pyspark.sql import functions as F
 
-from .graph import UNREACHED_HOPS, Graph
-from .operators import analyze, centrality, components, generate, ranking, structure, transform, traversal
+from .graph import UNREACHED, UNREACHED_HOPS, Graph
+from .operators import analyze, centrality, components, generate, partition, ranking, structure, transform, traversal
+from .plans.iterate import cut
+from .plans.timing import COLUMNS, Timers
 from .session import local_session
 from .sources import binary, store, text
 
@@ -58,11 +59,13 @@ def _arguments() -> argparse.Namespace:
     create.add_argument("out")
     create.add_argument("-s", "--scale", type=int, default=20)
     create.add_argument("-e", "--edge-factor", type=int, default=16)
+    create.add_argument("--weighted", action="store_true", help="with random weights")
     create.add_argument("--seed", type=int, default=generate.SEED)
     alter = commands.add_parser("alter", help="a graph from a graph")
     alter.add_argument("change", choices=sorted(ALTER))
     alter.add_argument("graph")
     alter.add_argument("out")
+    alter.add_argument("--descending", action="store_true", help="neighbours from the largest down, in the store")
     alter.add_argument("--format", choices=("store", "binary", "text", "graphml"), default="store")
     look = commands.add_parser("analyze", help="counts, orders and distributions")
     look.add_argument("graph")
@@ -72,10 +75,22 @@ def _arguments() -> argparse.Namespace:
     run.add_argument("graph")
     run.add_argument("-r", "--repeat", type=int, default=1)
     run.add_argument("--source", type=int, help="by default one with out-edges, another for each repeat")
+    run.add_argument("--partitioner", choices=("random", "asc", "dsc"), help="assign vertices to partitions first, and print their statistics")
+    run.add_argument("--fractions", type=lambda x: [float(f) for f in x.split(",")], default=[0.5, 0.5], help="one for each partition, with commas between")
+    run.add_argument("--singletons", action="store_true", help="vertices without out-edges have a partition of their own")
+    run.add_argument("--from-end", type=float, default=0.0, help="share of the edges that is taken from the other end of the order")
+    run.add_argument("--randomized", action="store_true", help="spread vertices over all partitions but the last")
     run.add_argument("--out", help="write the last result here, as Parquet")
     return parser.parse_args()
 
 
+def _partitions(graph: Graph, args: argparse.Namespace):
+    if args.partitioner == "random":
+        return partition.by_fractions(graph, args.fractions)
+    labels = partition.by_degree(graph, args.fractions, args.partitioner == "dsc", args.singletons, args.from_end)
+    return partition.shuffled_among(labels, 0, len(args.fractions) - 1) if args.randomized and len(args.fractions) > 2 else labels
+
+
 def _write(graph: Graph, path: str, form: str) -> None:
     {"store": store.write_graph, "binary": binary.write_binary, "text": text.write_text, "graphml": text.write_graphml}[form](graph, path)
 
@@ -85,34 +100,55 @@ def main() -> None:
     spark = local_session(args.cores, args.memory)
     if args.command == "create":
         make = {"rmat": generate.rmat, "uniform": generate.uniform, "kronecker": generate.kronecker}[args.kind]
-        store.write_graph(make(spark, args.scale, args.edge_factor, args.seed), args.out)
+        made = make(spark, args.scale, args.edge_factor, args.seed)
+        store.write_graph(transform.random_weights(made, args.seed) if args.weighted else made, args.out)
     elif args.command == "alter":
-        _write(ALTER[args.change](store.load(spark, args.graph)), args.out, args.format)
+        changed = ALTER[args.change](store.load(spark, args.graph))
+        if args.format == "store":
+            store.write_graph(changed, args.out, descending=args.descending)
+        else:
+            _write(changed, args.out, args.format)
     elif args.command == "analyze":
-        graph = store.load(spark, args.graph).written()
-        for result in (analyze.summary, analyze.repeated_edges, analyze.singletons_and_leaves, analyze.degree_order):
+        given = store.load(spark, args.graph)
+        graph = given.written()
+        # The places of rows are those in the file, as it is read; the store, of many files, has none.
+        neighbours = lambda _: analyze.neighbour_order(given.edges.withColumn("pos", F.monotonically_increasing_id()))
+        placed = [] if store.is_store(spark, args.graph) else [neighbours]
+        for result in (analyze.summary, analyze.direction, analyze.repeated_edges, analyze.singletons_and_leaves, analyze.degree_order, *placed):
             for name, value in result(graph).first().asDict().items():
                 print(f"{name}\t{value}")
         if args.degrees:
             text.write_degree_distribution(analyze.degree_distribution(graph), args.degrees)
     else:
-        graph = store.load(spark, args.graph, weighted=args.algorithm == "sssp").written()
+        setup = Timers(spark)
+        with setup.phase("init"):
+            graph = store.load(spark, args.graph, weighted=args.algorithm == "sssp").written()
+            edges = graph.edge_count()
+        if args.partitioner:
+            with setup.phase("par"):
+                labels = cut(_partitions(graph, args))
+        print("\t".join(f"time_{name}:{ms:.2f}" for name, ms in setup.ms.items()))
+        if args.partitioner:
+            for row in partition.partition_stats(graph, labels).orderBy("pid").collect():  # one row per partition
+                print("\t".join(f"{k}:{v}" for k, v in row.asDict().items()))
         algorithm, counted = RUN[args.algorithm]
-        edges = graph.edge_count()
-        print("source\ttotal_ms\ttrv_edges\texec_rate")
+        print("source\t" + "\t".join(COLUMNS))
         for turn in range(args.repeat):
-            source = args.source if args.source is not None else _first_source(graph, generate.SEED + turn)
-            began = time.time()
-            result = algorithm(graph, source)
-            rows = result.count()
-            took = time.time() - began
+            timers = Timers(spark)
+            with timers.phase("init"):
+                source = args.source if args.source is not None else _first_source(graph, generate.SEED + turn)
+            with timers.phase("exec"):
+                result = algorithm(graph, source)
+            with timers.phase("aggr"):
+                rows = result.count()
             if counted == "reached":
                 column = result.columns[1]
-                unreached = UNREACHED_HOPS if column == "cost" else 4294967295
+                unreached = UNREACHED_HOPS if column == "cost" else UNREACHED
                 traversed = traversal.traversed_edges(graph, result.select("id", F.col(column).alias("cost")), unreached).first()[0]
             else:
                 traversed = counted * edges
-            print(f"{source}\t{1000 * took:.1f}\t{traversed}\t{traversed / max(took, 1e-9) / 1e9:.6f}", flush=True)
+            measured = timers.row(traversed)
+            print(f"{source}\t" + "\t".join(f"{measured[c]:.6f}" if c == "exec_rate" else f"{measured[c]:.0f}" if c == "trv_edges" else f"{measured[c]:.2f}" for c in COLUMNS), flush=True)
         if args.out:
             print(f"{rows} rows to {args.out}")
             result.write.parquet(args.out)

@@ -15,7 +15,7 @@ from ..plans.iterate import cut
 LEAST_ROWS = 2_000_000
 
 
-def lookup_join(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", total: int | None = None, least_rows: int = LEAST_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", total: int | None = None, least_rows: int | None = None) -> DataFrame:
     """rows joined with table on a column that both have; how is inner or left. Null keys match nothing.
 
     rows should be cheap to read again (a written table, say); they are counted unless total is given. Up to least_rows
@@ -24,7 +24,7 @@ def lookup_join(rows: DataFrame, key: str, table: DataFrame, how: str = "inner",
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
     total = rows.count() if total is None else total
-    if total <= least_rows:
+    if total <= (LEAST_ROWS if least_rows is None else least_rows):
         return rows.join(table, key, how)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(1, total // (4 * partitions))

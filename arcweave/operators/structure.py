@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lookup import LEAST_ROWS, lookup_join
+from ..functions import lookup
+from ..functions.lookup import lookup_join
 from ..graph import Graph
 from ..plans.adjacency import Adjacency
 from ..plans.iterate import Table, cut, scoped
@@ -21,7 +22,7 @@ def degree(graph: Graph, by: str = "src") -> DataFrame:
     return graph.vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def _closed(graph: Graph, least_rows: int = LEAST_ROWS) -> DataFrame:
+def _closed(graph: Graph, least_rows: int | None = None) -> DataFrame:
     """(id, triangles) of vertices with any, edges taken both ways and without repeats and loops.
 
     Each edge points from the end with fewer neighbours to the other, so no vertex points to more than about the square
@@ -41,7 +42,7 @@ def _closed(graph: Graph, least_rows: int = LEAST_ROWS) -> DataFrame:
     sent = lists.where(F.size("to") > 1).select("u", F.posexplode("to").alias("i", "v"), "to").select("u", "v", F.slice("to", F.col("i") + 2, F.size("to")).alias("rest")).where(F.size("rest") > 0)
     found = lists.select(F.col("u").alias("v"), F.col("to").alias("_to"))
     most = max(1, total // (4 * int(graph.spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = Table(pointed.groupBy(F.col("v.id").alias("v")).count().where(F.col("count") > most).select("v", F.ceil(F.col("count") / most).cast("int").alias("_n"))) if total > least_rows else None
+    hot = Table(pointed.groupBy(F.col("v.id").alias("v")).count().where(F.col("count") > most).select("v", F.ceil(F.col("count") / most).cast("int").alias("_n"))) if total > (lookup.LEAST_ROWS if least_rows is None else least_rows) else None
     on = ["v"]
     if hot is not None and hot.rows:  # at most four per partition
         salts = F.coalesce("_n", F.lit(1))

@@ -21,12 +21,12 @@ LEAST_HUB = 100_000
 class Adjacency:
     """Edges by `by` ('src' to send along edges, 'dst' against them). Use as a context manager: the cache ends with it."""
 
-    def __init__(self, edges: DataFrame, by: str = "src", total: int | None = None, least_hub: int = LEAST_HUB) -> None:
+    def __init__(self, edges: DataFrame, by: str = "src", total: int | None = None, least_hub: int | None = None) -> None:
         """total: the number of edges, or a little more, if it is known."""
         self.by, spark = by, edges.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         total = edges.count() if total is None else total
-        most = max(least_hub, total // (4 * n))
+        most = max(LEAST_HUB if least_hub is None else least_hub, total // (4 * n))
         self.hubs: DataFrame | None = None
         if total > most:
             hubs = Table(edges.groupBy(by).count().where(F.col("count") > most).select(F.col(by).alias("_hub"), F.ceil(F.col("count") / most).cast("int").alias("_salts")))

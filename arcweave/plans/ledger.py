@@ -27,9 +27,10 @@ class Ledger:
     with the least value, or the one added last, counts, and there is one value. Use as a context manager: the cache
     ends with it."""
 
-    def __init__(self, start: DataFrame, keys: Sequence[str], values: Sequence[str], rule: str, least_rows: int = LEAST_ROWS) -> None:
+    def __init__(self, start: DataFrame, keys: Sequence[str], values: Sequence[str], rule: str, least_rows: int | None = None) -> None:
         assert rule in RULES and (rule == "once" or len(values) == 1)
-        self.keys, self.values, self.rule, self.least_rows = list(keys), list(values), rule, least_rows
+        self.keys, self.values, self.rule = list(keys), list(values), rule
+        self.least_rows = LEAST_ROWS if least_rows is None else least_rows
         self.spark, self.turn = start.sparkSession, 0
         self.entries: list[Table] = []
         self._later: list[Table] = []

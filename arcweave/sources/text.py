@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from . import records
 
 _HEADER = re.compile(r"^#[ \t\r:]*(nodes|edges|directed|undirected)[ \t\r:]*(\d*)[ \t\r:]*([yY]?)", re.IGNORECASE)
 
@@ -70,6 +71,19 @@ def read_text(spark: SparkSession, path: str, weighted: bool = False, check: boo
     return Graph(vertices, edges, head["directed"], weighted, head["valued"])
 
 
+def read_text_apart(spark: SparkSession, path: str, weighted: bool = False) -> tuple[Graph, DataFrame]:
+    """The graph of the lines that can be loaded, and (line_id, reason, line) of those that cannot, as in records.load_lines();
+    line_id rises with the place in the file. For files without vertex lines; with weighted, every edge line has a weight."""
+    head = header(spark, path)
+    if head["valued"]:
+        raise ValueError("the file has vertex lines")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.lit(0).alias("graph_id"), F.col("value").alias("line"))
+    headers = spark.range(1).select(F.lit(0).alias("graph_id"), F.lit(head["vertex_count"]).alias("vertex_count"), F.lit(weighted).alias("weighted"))
+    found = records.load_lines(lines, headers)
+    edges = records.loaded(found).select("src", "dst", *["weight"] * weighted)
+    return Graph(spark.range(head["vertex_count"]).select("id"), edges, head["directed"], weighted), records.failed(found).select("line_id", "reason", "line")
+
+
 def write_text(graph: Graph, path: str) -> None:
     """A directory with a header file, vertex lines and edge lines, whose names sort in the order of the format.
 

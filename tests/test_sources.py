@@ -22,6 +22,15 @@ def written(path, content):
     return str(path)
 
 
+def test_text_with_lines_that_fail(spark, tmp_path):
+    content = "# Nodes: 4\n# Edges: 6\n# Directed\n0 1 5.9\n\n9 1 2\n0:3\n 2\t1 4\r\n\"0 1 2\n1 2 x\n"
+    g, bad = text.read_text_apart(spark, written(tmp_path / "bad.graph", content), weighted=True)
+    assert g.directed and g.vertex_count() == 4 and rows(g.edges) == [(0, 1, 5), (2, 1, 4)]
+    assert [(r.reason, r.line) for r in bad.orderBy("line_id").collect()] == [("source", "9 1 2"), ("column_count", "0:3"), ("quoting", '"0 1 2'), ("weight", "1 2 x")]
+    with pytest.raises(ValueError):
+        text.read_text_apart(spark, written(tmp_path / "v.graph", "# Nodes: 1 Y\n# Edges: 0\n# Directed\n0 1\n"))
+
+
 def test_text(spark, tmp_path):
     path = written(tmp_path / "a.graph", "#Nodes: 4 Y \n# edges:3\n#DIRECTED\n0 7\n2 8\n3\n# comment\n0 1 5.9\n\n0:3\n 2\t1 4\r\n")
     g = text.read_text(spark, path, weighted=True)
