@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_running
-from ..plans.iterate import cut
+from ..plans.iterate import cut, scoped
 from .bpe import TOKENIZER_DIR, VOCABULARY
 from .tokens import count_tokens
 
@@ -98,6 +98,7 @@ class Mix:
         return steps.join(over).join(off)  # one row each
 
 
+@scoped
 def mix(documents: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequence[float]] | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Mix:
     """documents(doc_id, source, text), targets(source, target_share, max_repeats)."""
     spark = documents.sparkSession

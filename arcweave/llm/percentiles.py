@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
+from ..plans.iterate import cut, scoped
 
 K = 800
 GRID = 512
@@ -137,6 +137,7 @@ def _counted(rows: DataFrame, brackets: DataFrame, k: int) -> DataFrame:
     return cut(found)
 
 
+@scoped
 def exact_percentiles(df: DataFrame, key: str, brackets: DataFrame, k: int = K, bound: int = BOUND) -> DataFrame:
     """Exact, interpolated percentiles of the groups in brackets(key, field, p, n, low, high), where n is the number of
     finite values and low and high are values that should enclose the percentile.
@@ -186,6 +187,7 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+@scoped
 def misplaced(df: DataFrame, key: str, table: DataFrame, wanted: Sequence[float], k: int = K) -> DataFrame:
     """(key, field, n, outside) of each group of a table of percentiles(): how many of the wanted ones are values whose
     true rank is further from the wanted one than three times the stated error (for groups that are exact, at all)."""
@@ -201,6 +203,7 @@ def misplaced(df: DataFrame, key: str, table: DataFrame, wanted: Sequence[float]
     return table.select(key, "field", "n").join(bad, F.col(key).eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_f")), "left").select(key, "field", "n", F.coalesce("outside", F.lit(0)).alias("outside"))
 
 
+@scoped
 def heavy_tails(df: DataFrame, key: str, fields: Sequence[str], least: int = 40, high_at: float = 0.9, times: float = 4.0, k: int = K) -> DataFrame:
     """Groups and fields with at least `least` finite values whose high percentile is more than `times` the median: (key, field).
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.iterate import cut as cut_table
+from ..plans.iterate import scoped
 from ..plans.shipping import ship
 from .bpe import TOKENIZER_DIR, VOCABULARY, Encoder, encoder, utf8
 from .tokens import count_tokens, parts
@@ -223,6 +224,7 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", limit:
     return documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+@scoped
 def checked(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row: documents with pieces, and counts of what is wrong with pieces(), all 0 if nothing is. Keys are unique.
 
