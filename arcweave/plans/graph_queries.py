@@ -493,7 +493,7 @@ ORACLE_SQL["uniform_degrees_20"] = f"""
 QUERIES["rmat_summary_20"] = lambda spark, d: analyze.summary(generate.rmat(spark, generate.SCALE).written()).select(*_COUNTS)
 ORACLE_SQL["rmat_summary_20"] = f"SELECT {(1 << generate.SCALE) - 2}::BIGINT AS vertex_count, {16 * ((1 << generate.SCALE) - 2)}::BIGINT AS edge_count, 0::BIGINT AS self_loops, 0::BIGINT AS dangling_edges"
 QUERIES["kronecker"] = lambda spark, d: analyze.degree_distribution(generate.kronecker(spark, generate.SCALE))
-QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spark, [(2, 635_500), (5, 317_750), (20, 95_324)]))
+QUERIES["bter"] = lambda spark, d: analyze.degree_distribution(generate.bter(spark, [(1, 200_000), (2, 435_500), (5, 317_750), (20, 95_324)]))
 
 # Streams
 
