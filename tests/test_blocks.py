@@ -1,14 +1,15 @@
 """Traversals in blocks within tasks, and the same over tables, against plain computations."""
 
+import math
 import random
 from collections import Counter, deque
 
 import pytest
 
-from arcweave.operators import centrality
+from arcweave.operators import centrality, components
 from arcweave.plans import blocks
 
-from .graphs import build, values
+from .graphs import both, build, values
 
 
 def _drawn(n, edges, seed):
@@ -82,3 +83,51 @@ def test_no_tables_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(adjacency.Trail, "append", None)
     g = build(spark, 30, [(i, i + 1) for i in range(29)], directed=True)
     assert values(centrality.betweenness(g)) == {i: i * (29 - i) for i in range(30)}
+
+
+def _labels(n, edges, turns, stable):
+    """Labels by the rule: all distributions, turn by turn. Also the number of turns made."""
+    out = {}
+    for (a, b), times in Counter(edges).items():
+        out.setdefault(a, []).append((b, times))
+    degree = {a: sum(times for _, times in x) for a, x in out.items()}
+    p = {a: {a: 1.0} | {b: 1 / degree[a] for b, _ in x} for a, x in out.items()}
+    labels, quiet = None, 0
+    for turn in range(1, turns + 1):
+        following = {}
+        for a, x in out.items():
+            sums = Counter()
+            for b, times in x:
+                for label, q in p.get(b, {}).items():
+                    sums[label] += q * times
+            if sums:
+                following[a] = {label: q / degree[a] for label, q in sums.items()}
+        p = following
+        new = {a: min(x, key=lambda label: (-math.floor(x[label] * 1e7 + 0.5), label)) for a, x in p.items()}
+        quiet = quiet + 1 if labels is not None and all(labels.get(a) == label for a, label in new.items()) else 0
+        labels = new
+        if quiet >= stable:
+            break
+    return {a: labels.get(a, a) for a in range(n)}, turn
+
+
+@pytest.mark.parametrize("edges, seed", CASES)
+def test_label_propagation_until_stable(spark, way, edges, seed):
+    drawn = _drawn(N, edges, seed)
+    assert values(components.label_propagation(build(spark, N, drawn, directed=True))) == _labels(N, drawn, components.LP_TURNS, components.LP_STABLE)[0]
+
+
+def test_labels_that_are_stable_late(spark, way):
+    """A ring with a tail, where labels still move after the turns that are made first."""
+    drawn = both([(i, (i + 1) % 9) for i in range(9)] + [(i, i + 1) for i in range(8, 20)])
+    expected, turn = _labels(21, drawn, components.LP_TURNS, components.LP_STABLE)
+    assert turn > 2 * components.LP_STABLE
+    assert values(components.label_propagation(build(spark, 21, drawn))) == expected
+
+
+def test_labels_without_tables_of_pairs(spark, monkeypatch):
+    """Turns within tasks lay out no edges for a loop of joins."""
+    monkeypatch.setattr(components, "Adjacency", None)
+    drawn = _drawn(N, 400, 2)
+    g = build(spark, N, drawn, directed=True)
+    assert values(components.label_propagation(g)) == _labels(N, drawn, components.LP_TURNS, components.LP_STABLE)[0]
