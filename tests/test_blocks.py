@@ -131,3 +131,20 @@ def test_labels_without_tables_of_pairs(spark, monkeypatch):
     drawn = _drawn(N, 400, 2)
     g = build(spark, N, drawn, directed=True)
     assert values(components.label_propagation(g)) == _labels(N, drawn, components.LP_TURNS, components.LP_STABLE)[0]
+
+
+@pytest.mark.parametrize("edges, seed", CASES)
+def test_closeness(spark, way, edges, seed):
+    drawn = _drawn(N, edges, seed)
+    g, expected = build(spark, N, drawn, directed=True), dict(enumerate(_plain(N, drawn)[2]))
+    assert values(centrality.closeness(g)) == pytest.approx(expected)
+    assert values(centrality.closeness(g, batch=7)) == pytest.approx(expected)
+
+
+def test_closeness_without_tables_of_pairs(spark, monkeypatch):
+    """More sources than a word has bits, and no table per level."""
+    from arcweave.plans import adjacency
+
+    monkeypatch.setattr(adjacency.Trail, "append", None)
+    drawn = _drawn(150, 300, 3)
+    assert values(centrality.closeness(build(spark, 150, drawn, directed=True))) == pytest.approx(dict(enumerate(_plain(150, drawn)[2])))
