@@ -148,3 +148,13 @@ def test_closeness_without_tables_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(adjacency.Trail, "append", None)
     drawn = _drawn(150, 300, 3)
     assert values(centrality.closeness(build(spark, 150, drawn, directed=True))) == pytest.approx(dict(enumerate(_plain(150, drawn)[2])))
+
+
+def test_labels_after_some_turns(spark, way, monkeypatch):
+    """The labels after three turns, which are not stable, without a loop of joins where tasks do the turns."""
+    if way != "tables":
+        monkeypatch.setattr(components, "Adjacency", None)
+    drawn = _drawn(N, 100, 4)
+    expected = [_labels(N, drawn, turns, components.LP_STABLE)[0] for turns in (3, components.LP_TURNS)]
+    assert expected[0] != expected[1]
+    assert values(components.label_propagation(build(spark, N, drawn, directed=True), turns=3)) == expected[0]
