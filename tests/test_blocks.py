@@ -158,3 +158,17 @@ def test_labels_after_some_turns(spark, way, monkeypatch):
     expected = [_labels(N, drawn, turns, components.LP_STABLE)[0] for turns in (3, components.LP_TURNS)]
     assert expected[0] != expected[1]
     assert values(components.label_propagation(build(spark, N, drawn, directed=True), turns=3)) == expected[0]
+
+
+@pytest.mark.parametrize("edges, seed", CASES)
+def test_stress(spark, way, edges, seed):
+    drawn = _drawn(N, edges, seed)
+    assert values(centrality.stress(build(spark, N, drawn, directed=True), batch=16)) == dict(enumerate(_plain(N, drawn)[1]))
+
+
+def test_stress_without_tables_of_pairs(spark, monkeypatch):
+    from arcweave.plans import adjacency
+
+    monkeypatch.setattr(adjacency.Trail, "append", None)
+    drawn = _drawn(N, 400, 2)
+    assert values(centrality.stress(build(spark, N, drawn, directed=True))) == dict(enumerate(_plain(N, drawn)[1]))
