@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, deque
 
+import numpy as np
 import pytest
 
 from arcweave.operators import centrality, components
@@ -172,3 +173,51 @@ def test_stress_without_tables_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(adjacency.Trail, "append", None)
     drawn = _drawn(N, 400, 2)
     assert values(centrality.stress(build(spark, N, drawn, directed=True))) == dict(enumerate(_plain(N, drawn)[1]))
+
+
+def _in_process(monkeypatch, make, n, pairs):
+    """Rows of a single task, run here, and the cells that it passes along edges."""
+    cells, carry = [0], blocks.carry
+
+    def counted(route, values, *rest):
+        cells[0] += len(route[2]) * values.shape[1]
+        return carry(route, values, *rest)
+
+    monkeypatch.setattr(blocks, "carry", counted)
+    monkeypatch.setattr(blocks, "in_tasks", lambda edges, sources, count, work, schema: work)
+    src, dst = np.array(pairs, np.int32).T
+    rows = [row for batch in make()(np.arange(n), src, dst, np.ones(len(src), np.int64), np.arange(n), 0, 1) for row in batch.to_pylist()]
+    return rows, cells[0]
+
+
+def test_labels_follow_what_is_near(monkeypatch):
+    """Many components: a turn's work is in proportion to what vertices reach, not to all pairs of vertices and edges."""
+    n = 2400
+    pairs = both([(i, i - i % 8 + (i + 1) % 8) for i in range(n)])
+    rows, cells = _in_process(monkeypatch, lambda: blocks.likeliest(None, n, 3, components.LP_DIGITS), n, pairs)
+    assert {r["id"]: r["label"] for r in rows if r["turn"] == 3} == _labels(n, pairs, 3, components.LP_STABLE)[0]
+    assert cells < n * len(pairs)
+
+
+def test_packed_numbers():
+    for values in ([], [0, 1, -128], [127, 128], [-40_000, 3], [2**31, -1, 7], [2**63 - 1, -(2**63)]):
+        packed = blocks.pa.py_buffer(blocks._narrow(np.array(values, np.int64)))
+        assert blocks._widened(packed).tolist() == values
+
+
+@pytest.mark.parametrize("ids", [[5, 3, 9], [0, 2**40, -7], []])
+def test_places(ids):
+    found, places = blocks._places(np.array(ids, np.int64))
+    assert found.tolist() == sorted(ids) and found[places].tolist() == ids
+
+
+def test_carry_over_many_edges():
+    """An end with very many edges beside ends with few, weighted and in small pieces."""
+    draw = np.random.default_rng(1)
+    src, dst = draw.integers(0, 30, 900), np.where(np.arange(900) < 700, 4, draw.integers(0, 30, 900))
+    times, values = draw.integers(1, 4, 900), draw.random((30, 5))
+    ends, *_ = route = blocks.Layout(src.astype(np.int32), dst.astype(np.int32), times, 30).route(np.arange(30))
+    expected = np.zeros((30, 5))
+    np.add.at(expected, dst, values[src] * times[:, None])
+    for chunk in (7, 60, 1 << 14):
+        assert blocks.carry(route, values, chunk) == pytest.approx(expected[ends])
