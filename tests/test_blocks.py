@@ -221,3 +221,53 @@ def test_carry_over_many_edges():
     np.add.at(expected, dst, values[src] * times[:, None])
     for chunk in (7, 60, 1 << 14):
         assert blocks.carry(route, values, chunk) == pytest.approx(expected[ends])
+
+
+def _with_ways(seed):
+    """Ways into roots that others lead back to, trees of ways, a ring with ways into it, and repeated edges."""
+    draw = random.Random(seed)
+    pairs = [(i, draw.randrange(60)) for i in range(15, 45)] + [(draw.randrange(15), draw.randrange(60)) for _ in range(40)]
+    return pairs + [(i, 45 + (i - 44) % 6) for i in range(45, 51)] + [(51, 46), (52, 51), (53, 51), (54, 47), (54, 47)]
+
+
+@pytest.mark.parametrize("seed, largest", [*((seed, blocks.LARGEST) for seed in range(6)), (6, 0)])
+@pytest.mark.parametrize("of_stress", [True, False])
+def test_sources_with_a_single_way(monkeypatch, of_stress, seed, largest):
+    monkeypatch.setattr(blocks, "LARGEST", largest)
+    pairs = [(a, b) for a, b in _with_ways(seed) if a != b]
+    counted = Counter(pairs)
+    src, dst = np.array(list(counted), np.int32).T
+    monkeypatch.setattr(blocks, "in_tasks", lambda edges, sources, count, work, schema: work)
+    monkeypatch.setattr(blocks, "WIDEST", 4)
+    got = Counter()
+    for task in range(3):
+        for batch in blocks.dependencies(None, None, 60, of_stress, 4)(np.arange(60), src, dst, np.array(list(counted.values())), np.arange(60), task, 3):
+            for row in batch.to_pylist():
+                got[row["id"]] += row["score"]
+    assert [got[i] for i in range(60)] == pytest.approx(_plain(60, pairs)[1 if of_stress else 0])
+
+
+def test_some_sources_with_a_single_way(monkeypatch):
+    """Scores of sources by themselves add up to those of all, also of sources that are given twice."""
+    counted = Counter((a, b) for a, b in _with_ways(7) if a != b)
+    src, dst = np.array(list(counted), np.int32).T
+    monkeypatch.setattr(blocks, "in_tasks", lambda edges, sources, count, work, schema: work)
+    work = blocks.dependencies(None, None, 60, True, 4)
+
+    def scores(sources):
+        return Counter({r["id"]: r["score"] for batch in work(np.arange(60), src, dst, np.array(list(counted.values())), np.array(sources), 0, 1) for r in batch.to_pylist()})
+
+    single = [scores([i]) for i in range(60)]
+    assert sum(single, Counter()) == scores(range(60))
+    assert single[20] + single[20] + single[52] == scores([20, 20, 52])
+
+
+def test_stress_takes_sources_of_a_way_at_once(monkeypatch):
+    """Ways of 30 vertices, whose ends lead to the starts of some: work is for the ends only."""
+    draw = random.Random(5)
+    users, copies = 12, 30
+    n = users * copies
+    pairs = sorted({(u + users * k, u + users * (k + 1)) for u in range(users) for k in range(copies - 1)} | {(n - users + u, draw.randrange(users)) for u in range(users) for _ in range(3)})
+    rows, cells = _in_process(monkeypatch, lambda: blocks.dependencies(None, None, n, True, blocks.WIDEST), n, pairs)
+    assert {i: 0 for i in range(n)} | {r["id"]: r["score"] for r in rows} == dict(enumerate(_plain(n, pairs)[1]))
+    assert cells < n * len(pairs)
